@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, neardup, tokencount, toxicity
+from . import langid, mixing, neardup, tokencount, toxicity, winnow
 from .common import Scratch
 
 
@@ -26,6 +26,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.compare_edited(_table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,7 +43,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_toxicity, op3_source_mixing, op4_minhash_near_dedup, op7_token_counts, op9_language_id)
+    for f in (op2_toxicity, op3_source_mixing, op4_minhash_near_dedup, op6_fingerprints, op7_token_counts, op9_language_id)
 }
 
 ORACLE_SQL: dict[str, str] = {}
