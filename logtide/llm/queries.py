@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, neardup, tokencount, toxicity, winnow
+from . import decontam, langid, mixing, neardup, tokencount, toxicity, winnow
 from .common import Scratch
 
 
@@ -22,6 +22,10 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -43,7 +47,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_toxicity, op3_source_mixing, op4_minhash_near_dedup, op6_fingerprints, op7_token_counts, op9_language_id)
+    for f in (op1_benchmark_decontamination, op2_toxicity, op3_source_mixing, op4_minhash_near_dedup, op6_fingerprints, op7_token_counts, op9_language_id)
 }
 
 ORACLE_SQL: dict[str, str] = {}
