@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, mixing, neardup, tokencount, toxicity, winnow
+from . import decontam, langid, mixing, neardup, surrogate, tokencount, toxicity, winnow
 from .common import Scratch
 
 
@@ -45,9 +45,13 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogate.pseudonymize(_table(spark, sf_dir, "documents"), key="logtide")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_benchmark_decontamination, op2_toxicity, op3_source_mixing, op4_minhash_near_dedup, op6_fingerprints, op7_token_counts, op9_language_id)
+    for f in (op1_benchmark_decontamination, op2_toxicity, op3_source_mixing, op4_minhash_near_dedup, op6_fingerprints, op7_token_counts, op9_language_id, op10_pii_surrogates)
 }
 
 ORACLE_SQL: dict[str, str] = {}
