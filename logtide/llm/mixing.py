@@ -145,3 +145,13 @@ def _dealt(rows: DataFrame, placed: DataFrame, plan: DataFrame, scratch: Scratch
     rest = rows.filter("size = 0").select("doc_id", "key", "size", F.lit(0).cast("bigint").alias("copies"))
     out = full.union(rest).join(named, "key")
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+def with_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with all their columns and size, source_size, target, taken and copies.
+
+    Ids should be distinct: rows that share an id share what the mix gives to the first of them.
+    """
+    given = mix(docs).select(F.col("doc_id").alias("_id"), *(F.col(c).alias(c) for c in ("size", "source_size", "target", "taken", "copies")))
+    given = given.groupBy("_id").agg(*(F.min(c).alias(c) for c in ("size", "source_size", "target", "taken", "copies")))
+    return docs.join(given, docs["doc_id"].eqNullSafe(given["_id"])).drop("_id")

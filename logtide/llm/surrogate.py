@@ -144,24 +144,30 @@ def assign(entities: DataFrame, key: str, scratch: Scratch, *, rounds: int = 20)
 def pseudonymize(docs: DataFrame, *, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, text with surrogates, n_entities.
 
-    A null text stays null with no entities; an empty one stays empty. Ids may be null or repeat: rows of
-    the same id and text get the same text. Other columns are ignored. Texts can be of any length.
+    A null text stays null with no entities; an empty one stays empty. Ids may be null or repeat: equal
+    texts get equal texts. Other columns are ignored. Texts can be of any length.
     """
-    scratch = Scratch(docs.sparkSession, "surrogates")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    found = F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0)))
-    rows = scratch.save(rows.withColumn("found", F.when(F.size(found) > 0, found)), "found")
-    some = rows.filter("found is not null").withColumn("key", F.xxhash64("doc_id", "text"))
-    spans = some.select("key", F.posexplode("found").alias("i", "value")).distinct()
+    return replace(rows, key=key).select("doc_id", "text", F.col("_n_entities").alias("n_entities"))
+
+
+def replace(docs: DataFrame, *, key: str, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with all their columns, surrogates in the text, and _n_entities added."""
+    scratch = Scratch(docs.sparkSession, "surrogates")
+    found = F.when(F.col(text_col).rlike(HINT), F.regexp_extract_all(text_col, F.lit(ENTITY), F.lit(0)))
+    rows = scratch.save(docs.withColumn("_found", F.when(F.size(found) > 0, found)), "found")
+    some = rows.filter("_found is not null").withColumn("_key", F.xxhash64(text_col, "_found"))
+    spans = some.select("_key", F.posexplode("_found").alias("i", "value")).distinct()
     spans = spans.withColumn("kind", kind_of(F.col("value"))).withColumn("canon", canonical(F.col("kind"), F.col("value")))
     spans = scratch.save(spans, "spans")
     table = assign(spans.select("kind", "canon").distinct(), key, scratch)
     named = table.select(F.col("kind").alias("k"), F.col("canon").alias("c"), "new")
-    filled = spans.join(named, (F.col("kind") == F.col("k")) & (F.col("canon") == F.col("c"))).select("key", "i", rendered(F.col("kind"), F.col("value"), F.col("new")).alias("put"))
-    puts = filled.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "put"))).alias("puts"))  # bounded by one text
-    gaps = F.split("text", ENTITY, -1)
-    changed = some.join(puts.withColumnRenamed("key", "k"), F.col("key") == F.col("k"))
-    text = F.array_join(F.zip_with(gaps, F.transform("puts", lambda p: p["put"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    done = changed.select("doc_id", text.alias("text"), F.size("puts").cast("bigint").alias("n_entities"))
-    rest = rows.filter("found is null").select("doc_id", "text", F.lit(0).cast("bigint").alias("n_entities"))
+    filled = spans.join(named, (F.col("kind") == F.col("k")) & (F.col("canon") == F.col("c"))).select("_key", "i", rendered(F.col("kind"), F.col("value"), F.col("new")).alias("put"))
+    puts = filled.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("i", "put"))).alias("_puts"))  # bounded by one text
+    gaps = F.split(text_col, ENTITY, -1)
+    changed = some.join(puts.withColumnRenamed("_key", "_k"), F.col("_key") == F.col("_k"))
+    text = F.array_join(F.zip_with(gaps, F.transform("_puts", lambda p: p["put"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    done = changed.select(*others, text.alias(text_col), F.size("_puts").cast("bigint").alias("_n_entities"))
+    rest = rows.filter("_found is null").select(*others, text_col, F.lit(0).cast("bigint").alias("_n_entities"))
     return done.unionByName(rest)

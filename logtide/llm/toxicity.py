@@ -317,6 +317,23 @@ def score(docs: DataFrame, model: Model, *, threshold: float = 0.3) -> DataFrame
     return rows.mapInArrow(_score(shared, threshold), "doc_id bigint, held_out boolean, score double, predicted int")
 
 
+def _keep(shared, threshold: float, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model = shared.value
+        describe = Describer(model.lexicon)
+        for batch in batches:
+            x = np.array([describe(v.as_py()) for v in batch.column(at)]).reshape(batch.num_rows, len(FEATURES))
+            yield batch.filter(pa.array(model.scores(x) < threshold))
+
+    return run
+
+
+def keep_clean(docs: DataFrame, model: Model, *, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores below the threshold; null texts score as empty."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_keep(shared, threshold, docs.columns.index("text")), docs.schema)
+
+
 def rate(docs: DataFrame, labels: DataFrame, **fit_options) -> DataFrame:
     """Learns from the labelled rows that are not held out and scores all rows."""
     return score(docs, fit(docs.filter(~in_fold("doc_id", 4, 2)), labels, **fit_options))
