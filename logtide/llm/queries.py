@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, mixing, neardup, surrogate, tokencount, toxicity, winnow
+from . import decontam, htmlcut, langid, mixing, neardup, surrogate, tokencount, toxicity, winnow
 from .common import Scratch
 
 
@@ -30,6 +30,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlcut.extract(_table(spark, sf_dir, "pages"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.compare_edited(_table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_benchmark_decontamination, op2_toxicity, op3_source_mixing, op4_minhash_near_dedup, op6_fingerprints, op7_token_counts, op9_language_id, op10_pii_surrogates)
+    for f in (op1_benchmark_decontamination, op2_toxicity, op3_source_mixing, op4_minhash_near_dedup, op5_html_extraction, op6_fingerprints, op7_token_counts, op9_language_id, op10_pii_surrogates)
 }
 
 ORACLE_SQL: dict[str, str] = {}
