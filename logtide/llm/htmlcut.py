@@ -45,8 +45,8 @@ GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article|content|entry|post|story|body|te
 BOILER_TEXT = re.compile(r"©|\(c\)\s*\d{4}|all rights reserved|cookie|privacy policy|terms of (?:use|service)|subscribe|sign ?up|log ?in|advertisement|sponsored|share this|read more|click here|newsletter", re.I)
 
 # Weights of the classifier, in nats towards content, and of the smoothness edges.
-WEIGHTS = {"bias": 0.4, "away": -6.0, "towards": 4.0, "bad_name": -5.0, "good_name": 1.0, "link": -4.0, "heading": 0.8, "paragraph": 1.2, "list": -0.6, "words": 0.5, "stop": 0.4, "boiler": -1.5}
-BESIDE, SIBLINGS = 0.35, 0.6
+WEIGHTS = {"bias": 0.4, "away": -6.0, "towards": 4.0, "bad_name": -9.0, "good_name": 1.0, "link": -3.0, "heading": 0.8, "paragraph": 1.2, "list": -0.6, "words": 0.5, "stop": 0.4, "boiler": -3.0}
+BESIDE, SIBLINGS = 0.6, 0.8
 
 TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|/?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
