@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, htmlcut, langid, mixing, neardup, surrogate, tokencount, toxicity, winnow
+from . import decontam, htmlcut, langid, mixing, neardup, pitmanyor, surrogate, tokencount, toxicity, winnow
 from .common import Scratch
 
 
@@ -45,6 +45,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), cache)
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitmanyor.score_all(_table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_benchmark_decontamination, op2_toxicity, op3_source_mixing, op4_minhash_near_dedup, op5_html_extraction, op6_fingerprints, op7_token_counts, op9_language_id, op10_pii_surrogates)
+    for f in (op1_benchmark_decontamination, op2_toxicity, op3_source_mixing, op4_minhash_near_dedup, op5_html_extraction, op6_fingerprints, op7_token_counts, op8_lm_scoring, op9_language_id, op10_pii_surrogates)
 }
 
 ORACLE_SQL: dict[str, str] = {}
