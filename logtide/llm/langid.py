@@ -37,9 +37,9 @@ class Model:
     prior: np.ndarray
 
 
-def _logs(counts: dict[str, np.ndarray], alpha: float) -> tuple[dict[str, int], np.ndarray]:
+def _logs(counts: dict[str, np.ndarray], langs: int, alpha: float) -> tuple[dict[str, int], np.ndarray]:
     index = {w: i for i, w in enumerate(counts)}
-    table = np.array(list(counts.values()), float).reshape(len(index), -1)
+    table = np.array(list(counts.values()), float).reshape(len(index), langs)
     return index, np.log((table + alpha) / (table.sum(0) + alpha * (len(index) + 1)))
 
 
@@ -68,8 +68,8 @@ def fit(docs: DataFrame, *, sample_rows: int = 8_000, max_words: int = 100_000,
             for i in range(len(padded) - n + 1):
                 grams[n - 1][padded[i : i + n]] += c
     kept = [dict(sorted(g.items(), key=lambda x: (-x[1].sum(), x[0]))[:max_grams]) for g in grams]
-    index, logs = _logs(word_counts, 0.5)
-    pairs = [_logs(g, 0.5) for g in kept]
+    index, logs = _logs(word_counts, len(langs), 0.5)
+    pairs = [_logs(g, len(langs), 0.5) for g in kept]
     return Model(langs, index, logs, [p[0] for p in pairs], [p[1] for p in pairs], np.log(np.array([sizes[x] for x in langs], float) / max(total, 1)) if langs else np.zeros(0))
 
 

@@ -148,10 +148,11 @@ def _dealt(rows: DataFrame, placed: DataFrame, plan: DataFrame, scratch: Scratch
 
 
 def with_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with all their columns and size, source_size, target, taken and copies.
+    """The rows of ``docs`` with their columns and size, source_size, target, taken and copies, which replace columns of these names.
 
-    Ids should be distinct: rows that share an id share what the mix gives to the first of them.
+    Ids should be distinct: rows that share an id share the least of what the mix gives to them.
     """
-    given = mix(docs).select(F.col("doc_id").alias("_id"), *(F.col(c).alias(c) for c in ("size", "source_size", "target", "taken", "copies")))
-    given = given.groupBy("_id").agg(*(F.min(c).alias(c) for c in ("size", "source_size", "target", "taken", "copies")))
-    return docs.join(given, docs["doc_id"].eqNullSafe(given["_id"])).drop("_id")
+    added = ("size", "source_size", "target", "taken", "copies")
+    given = mix(docs).groupBy(F.col("doc_id").alias("_mixed_id")).agg(*(F.min(c).alias(c) for c in added))
+    docs = docs.drop(*added)
+    return docs.join(given, docs["doc_id"].eqNullSafe(given["_mixed_id"])).drop("_mixed_id")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 # Titles that precede a name.
-FEMALE, MALE, EITHER = "Mrs|Ms|Miss|Mme|Mlle|Madame|Frau|Sra|Señora|Doña|Г-жа", "Mr|Herr|Monsieur|Sr|Señor|Don|Г-н", "Dr|Prof"
+FEMALE, MALE, EITHER = "Mrs|Ms|Miss|Mme|Mlle|Madame|Frau|Sra|Señora|Doña|Г-жа|MRS|MISS|FRAU", "Mr|Herr|Monsieur|Sr|Señor|Don|Г-н|MR|HERR", "Dr|Prof"
 _TITLE = rf"(?:{FEMALE}|{MALE}|{EITHER})"
 _NAME = r"\p{Lu}[\p{L}'’-]{1,40}"
 
@@ -155,19 +155,19 @@ def replace(docs: DataFrame, *, key: str, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with all their columns, surrogates in the text, and _n_entities added."""
     scratch = Scratch(docs.sparkSession, "surrogates")
     found = F.when(F.col(text_col).rlike(HINT), F.regexp_extract_all(text_col, F.lit(ENTITY), F.lit(0)))
-    rows = scratch.save(docs.withColumn("_found", F.when(F.size(found) > 0, found)), "found")
-    some = rows.filter("_found is not null").withColumn("_key", F.xxhash64(text_col, "_found"))
-    spans = some.select("_key", F.posexplode("_found").alias("i", "value")).distinct()
+    rows = scratch.save(docs.withColumn("_pii_found", F.when(F.size(found) > 0, found)), "found")
+    some = rows.filter("_pii_found is not null").withColumn("_pii_key", F.xxhash64(text_col, "_pii_found"))
+    spans = some.select("_pii_key", F.posexplode("_pii_found").alias("i", "value")).distinct()
     spans = spans.withColumn("kind", kind_of(F.col("value"))).withColumn("canon", canonical(F.col("kind"), F.col("value")))
     spans = scratch.save(spans, "spans")
     table = assign(spans.select("kind", "canon").distinct(), key, scratch)
     named = table.select(F.col("kind").alias("k"), F.col("canon").alias("c"), "new")
-    filled = spans.join(named, (F.col("kind") == F.col("k")) & (F.col("canon") == F.col("c"))).select("_key", "i", rendered(F.col("kind"), F.col("value"), F.col("new")).alias("put"))
-    puts = filled.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("i", "put"))).alias("_puts"))  # bounded by one text
+    filled = spans.join(named, (F.col("kind") == F.col("k")) & (F.col("canon") == F.col("c"))).select("_pii_key", "i", rendered(F.col("kind"), F.col("value"), F.col("new")).alias("put"))
+    puts = filled.groupBy("_pii_key").agg(F.array_sort(F.collect_list(F.struct("i", "put"))).alias("_pii_puts"))  # bounded by one text
     gaps = F.split(text_col, ENTITY, -1)
-    changed = some.join(puts.withColumnRenamed("_key", "_k"), F.col("_key") == F.col("_k"))
-    text = F.array_join(F.zip_with(gaps, F.transform("_puts", lambda p: p["put"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    changed = some.join(puts.withColumnRenamed("_pii_key", "_pii_k"), F.col("_pii_key") == F.col("_pii_k"))
+    text = F.array_join(F.zip_with(gaps, F.transform("_pii_puts", lambda p: p["put"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    done = changed.select(*others, text.alias(text_col), F.size("_puts").cast("bigint").alias("_n_entities"))
-    rest = rows.filter("_found is null").select(*others, text_col, F.lit(0).cast("bigint").alias("_n_entities"))
+    done = changed.select(*others, text.alias(text_col), F.size("_pii_puts").cast("bigint").alias("_n_entities"))
+    rest = rows.filter("_pii_found is null").select(*others, text_col, F.lit(0).cast("bigint").alias("_n_entities"))
     return done.unionByName(rest)

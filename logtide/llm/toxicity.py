@@ -76,14 +76,16 @@ class Lexicon:
     def token(self, token: str) -> list[float]:
         """insult, learned word, learned stem, log odds, second person, upper case, obfuscated, decorated, repeats."""
         w = core(token)
-        p = plain(token)
+        bare = token.rstrip(".,;:!?\"')").lstrip("\"'(").lower()
+        p = plain(bare)
         whole = self.odds.get(w, 0.0)
         odds = max([whole, *(self.odds.get(f"{w[:n]}~", 0.0) for n in PREFIXES if len(w) > n)])
         inner = w != "" and bool(NOT_LETTER.search(w)) and any(c.isalpha() for c in w)
-        if odds == 0.0 and inner and p:
+        disguised = inner or bare != w
+        if odds == 0.0 and disguised and p:
             odds = self.odds.get(p, 0.0)
         return [
-            float(w in INSULTS or (inner and p in INSULTS)), float(whole > 0), float(odds > 0 and whole <= 0), odds, float(w in SECOND_PERSON),
+            float(w in INSULTS or (disguised and p in INSULTS)), float(whole > 0), float(odds > 0 and whole <= 0), odds, float(w in SECOND_PERSON),
             float(len(w) > 2 and token.isupper()), float(inner), float(len(token) - len(w) > 2), float(bool(RUN.search(w))),
         ]
 
