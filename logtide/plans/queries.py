@@ -496,3 +496,116 @@ SELECT user_id, min(ts) AS session_start, count(*) AS events FROM s GROUP BY use
 def session_windows(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     return e.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("events")).select("user_id", F.col("w.start").alias("session_start"), "events")
+
+
+@register(f"""WITH {{LOG}}, {LSO_SQL} SELECT topic, "partition", -1 AS timestamp_ms, last_stable AS "offset" FROM lso""")
+def list_offsets_read_committed(spark, sf_dir):
+    records = log(spark, sf_dir)
+    at = stage.offset_stage(records, txns=transactions(records))
+    return stage.list_offsets(records, at.select(*KEY, F.lit(-1).alias("timestamp_ms")), at, isolation="read_committed")
+
+
+@register("""WITH {LOG}, r AS (SELECT *, coalesce(sum(bytes) OVER (PARTITION BY topic, "partition" ORDER BY "offset" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM log),
+taken AS (SELECT * FROM r WHERE before < 4096), sums AS (SELECT topic, "partition", sum(bytes) AS b FROM taken GROUP BY ALL),
+spent AS (SELECT topic, "partition", coalesce(sum(b) OVER (ORDER BY topic, "partition" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM sums)
+SELECT topic, "partition", "offset", bytes FROM taken JOIN spent USING (topic, "partition") WHERE before + spent < 30000""")
+def fetch_total_budget(spark, sf_dir):
+    records = log(spark, sf_dir)
+    start = records.select(*KEY).distinct().withColumn("offset", F.lit(0).cast("bigint"))
+    return fetch.fetch(records, start, max_bytes=4_096, least_bytes=61, total_bytes=30_000).select(*KEY, "offset", "bytes")
+
+
+@register("""WITH asked AS (SELECT n_nationkey AS position, CASE WHEN n_nationkey % 4 = 0 THEN r_name ELSE n_name END AS topic FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT position, topic, CASE WHEN n_regionkey IN (0, 1, 2) THEN 'id-' || n_nationkey END AS topic_id, CASE WHEN n_regionkey IN (0, 1, 2) THEN CAST(n_nationkey * 20 + 3 AS INTEGER) END AS partitions,
+  CASE WHEN n_name IS NULL OR n_regionkey NOT IN (0, 1, 2) THEN 29 ELSE 0 END AS error_code FROM asked LEFT JOIN nation ON topic = n_name""")
+def topic_metadata(spark, sf_dir):
+    n, r = spark.read.parquet(f"{sf_dir}/nation.parquet"), spark.read.parquet(f"{sf_dir}/region.parquet")
+    there = _topics(spark, sf_dir).join(n.select("n_name", "n_nationkey"), F.col("topic") == F.col("n_name")).select("topic", F.concat(F.lit("id-"), "n_nationkey").alias("topic_id"), "partitions", "n_regionkey")
+    asked = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_nationkey").alias("position"), F.when(F.col("n_nationkey") % 4 == 0, F.col("r_name")).otherwise(F.col("n_name")).alias("topic"))
+    return catalog.metadata(there, asked, allowed=there.filter("n_regionkey in (0, 1, 2)"))
+
+
+@register(f"""WITH {TOPICS_SQL} SELECT topic, "partition" FROM (SELECT topic, CAST(unnest(range(partitions)) AS INTEGER) AS "partition" FROM topics) WHERE (topic, "partition") > ('FRANCE', 5) ORDER BY topic, "partition" LIMIT 300""")
+def describe_topic_partitions(spark, sf_dir):
+    rows = _topics(spark, sf_dir).select("topic", F.explode(F.sequence(F.lit(0), F.col("partitions") - 1)).alias("partition"))
+    return fetch.page(rows, 300, after=("FRANCE", 5))
+
+
+@register("""SELECT o_orderpriority AS "group", CAST(o_custkey % 3 AS INTEGER) AS generation_id, o_orderstatus AS topic, CAST(o_orderkey % 500 AS INTEGER) AS "partition", count(DISTINCT o_custkey % 20) AS members FROM orders GROUP BY ALL HAVING members > 1""")
+def group_overlapping_assignments(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    given = o.select(F.col("o_orderpriority").alias("group"), (F.col("o_custkey") % 3).cast("int").alias("generation_id"), F.col("o_orderstatus").alias("topic"), (F.col("o_orderkey") % 500).cast("int").alias("partition"), (F.col("o_custkey") % 20).alias("member_id"))
+    return groups.overlapping(given)
+
+
+@register(f"""WITH {MEMBERS_SQL}, gone AS (SELECT DISTINCT "group" FROM members WHERE 60000 - last_contact_ms > session_timeout_ms)
+SELECT DISTINCT m."group", CASE WHEN g."group" IS NULL THEN 1 ELSE 2 END AS generation_id, CASE WHEN g."group" IS NULL THEN 'lead' END AS leader FROM members m LEFT JOIN gone g ON m."group" = g."group" """)
+def group_sweep(spark, sf_dir):
+    m = members(spark, sf_dir)
+    gen = m.select("group").distinct().select("group", F.lit(1).alias("generation_id"), F.lit("lead").alias("leader"))
+    return groups.sweep(gen, m.select("group", "member_id"), m, 60_000)[0]
+
+
+@register(f"""WITH {{LOG}}, {BATCHES_SQL} SELECT producer_id, topic, "partition", epoch, base_sequence, last_sequence, base_offset, position FROM batches""")
+def producer_coordinates(spark, sf_dir):
+    b = batches(spark, sf_dir).withColumn("base", F.expr("base_offset div 64 * 64"))
+    one = F.struct("producer_id", F.col("epoch").alias("producer_epoch"), "base_sequence", "last_sequence", (F.col("base_offset") - F.col("base")).alias("offset_delta"), F.lit(0).alias("flags"))
+    entries = b.groupBy("topic", "partition", "base").agg(F.collect_list(one).alias("producers")).withColumnRenamed("base", "base_offset")  # 64 offsets an entry
+    return producers.coordinates(entries)
+
+
+@register("""WITH {LOG}, entries AS (SELECT (timestamp_ms // 86400000)::VARCHAR AS segment, topic, "partition", max("offset") + 1 AS e FROM log GROUP BY ALL)
+SELECT segment FROM entries JOIN stage USING (topic, "partition") GROUP BY segment HAVING bool_and(e <= high_watermark // 2)""")
+def segment_reclaimable(spark, sf_dir):
+    records = log(spark, sf_dir)
+    day = F.expr("timestamp_ms div 86400000").cast("string")
+    entries = records.groupBy(day.alias("segment"), *KEY).agg(F.min("offset").alias("base_offset"), F.max("offset").alias("_last")).withColumn("record_count", F.col("_last") + 1 - F.col("base_offset"))
+    floors = stage.offset_stage(records).select(*KEY, F.expr("high_watermark div 2").alias("floor"))
+    return retention.reclaimable(entries, floors)
+
+
+@register("""WITH p AS (SELECT DISTINCT 'org.env.' || event_type AS prefix FROM events), c AS (SELECT 'org.env.' || event_type AS prefix, max(epoch_us(ts) // 1000) AS done FROM events WHERE event_type <> 'view' GROUP BY ALL)
+SELECT prefix FROM p WHERE prefix NOT IN (SELECT prefix FROM c WHERE done > (SELECT max(done) FROM c) - 1200000)""")
+def maintenance_due(spark, sf_dir):
+    records = log(spark, sf_dir)
+    claims = records.filter("topic <> 'view'").groupBy("prefix").agg(F.max("timestamp_ms").alias("maintained_at_ms"))
+    now = claims.agg(F.max("maintained_at_ms")).first()[0]
+    return retention.due_for_maintenance(records.select("prefix").distinct(), claims, now, 1_200_000)
+
+
+@register("""WITH o AS (SELECT 'g' || (user_id % 200) AS "group", max(epoch_us(ts) // 1000) AS newest FROM events GROUP BY ALL) SELECT "group" FROM o WHERE newest < (SELECT max(newest) FROM o) - 21600000""")
+def group_expiry(spark, sf_dir):
+    owned = log(spark, sf_dir).select(F.concat(F.lit("g"), (F.col("key") % 200).cast("string")).alias("group"), F.col("timestamp_ms").alias("modified_ms"))
+    now = owned.agg(F.max("modified_ms")).first()[0]
+    return retention.expired_groups(owned, now, 21_600_000)
+
+
+@register("""WITH {LOG}, b AS (SELECT topic, "partition", producer_id, "offset" // 16 AS position, count(*) AS n, max(timestamp_ms) AS newest FROM log GROUP BY ALL)
+SELECT topic, "partition", producer_id, CAST(sum(n) - 1 AS INTEGER) AS last_offset_delta, max(newest) AS max_timestamp, CAST(sum(n) AS BIGINT) AS records, CAST(sum(n) * (sum(n) - 1) / 2 AS BIGINT) AS deltas FROM b GROUP BY ALL""")
+def batches_combined(spark, sf_dir):
+    records = log(spark, sf_dir)
+    rank = F.row_number().over(Window.partitionBy(*KEY, "producer_id", F.expr("offset div 16")).orderBy("offset")) - 1
+    parts = records.withColumn("offset_delta", rank).groupBy(*KEY, "producer_id", F.expr("offset div 16").alias("position")).agg(
+        F.max("offset_delta").alias("last_offset_delta"), F.max("timestamp_ms").alias("max_timestamp"), F.array_sort(F.collect_list(F.struct("offset_delta", "key"))).alias("records")
+    )  # 16 records a batch
+    done = segments.combine_batches(parts)
+    deltas = F.aggregate("records", F.lit(0).cast("bigint"), lambda a, x: a + x["offset_delta"])
+    return done.select(*KEY, "producer_id", "last_offset_delta", "max_timestamp", F.size("records").cast("bigint").alias("records"), deltas.alias("deltas"))
+
+
+@register("""WITH {LOG} SELECT topic, "partition", high_watermark AS base_offset, CAST(count(*) AS BIGINT) AS appended, max(high_watermark + rn) AS last_offset FROM (SELECT topic, "partition", row_number() OVER (PARTITION BY topic, "partition" ORDER BY event_id) - 1 AS rn FROM log WHERE value > 20) JOIN stage USING (topic, "partition") GROUP BY ALL""")
+def log_append(spark, sf_dir):
+    records = log(spark, sf_dir)
+    at = stage.offset_stage(records)
+    from ..operators.log import append
+
+    grown = append(records.select(*KEY, "offset", "event_id"), at, records.filter("value > 20").select(*KEY, "event_id"), ["event_id"])
+    new = grown.join(at.select(*KEY, "high_watermark"), KEY).filter("offset >= high_watermark")
+    return new.groupBy(*KEY, F.col("high_watermark").alias("base_offset")).agg(F.count("*").alias("appended"), F.max("offset").alias("last_offset"))
+
+
+@register(f"""WITH {QUOTAS_SQL} SELECT entity_user, CAST(producer_byte_rate AS DOUBLE) AS producer_byte_rate, CAST(consumer_byte_rate AS DOUBLE) AS consumer_byte_rate FROM quotas WHERE entity_user = 'Customer#000000012'""")
+def quota_describe(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    own = c.filter("c_custkey % 2 = 0").select(F.col("c_name").alias("entity_user"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey") * F.lit(10.0)).alias("producer_byte_rate"), F.when(F.col("c_custkey") % 4 == 0, F.lit(7.5)).alias("consumer_byte_rate"))
+    return access.describe_quotas(own, user="Customer#000000012")
