@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 #: Chunks between spaces and line ends that a worker remembers; beyond, it starts afresh.
 REMEMBERED = 300_000
 _LOADED: dict[str, object] = {}
@@ -130,5 +132,6 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, *, limit
     new = wanted.select("digest", "text").mapInArrow(_encode(tokenizer_path), "digest binary, n bigint")
     new.select("digest", F.lit(version).alias("tokenizer"), "n").write.mode("append").parquet(cache_path)
     sizes = rows.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), "digest")
-    counts = _cached(spark, cache_path, version)
+    # written first, so that the join below may split a digest that many rows share
+    counts = Scratch(spark, "token-counts").save(_cached(spark, cache_path, version), "counts")
     return sizes.join(counts, "digest").select("doc_id", "n_bytes", F.col("n").alias("n_tokens"), (F.col("n") > limit).alias("over_limit"))
