@@ -22,7 +22,7 @@ from .common import WORD, Scratch
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 #: Members of a class that one task ranks.
-DEALT = 2_000
+DEALT = 200
 
 
 def n_words(text: str | Column) -> Column:
