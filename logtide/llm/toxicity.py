@@ -28,7 +28,7 @@ INSULTS = frozenset(
     dunce filth filthy fool freak garbage hate hideous idiot idiotic imbecile jerk kill lame liar
     loser lowlife maggot moron moronic nasty parasite pathetic pervert pig rat rotten scum scumbag
     shit shut sick slime sucker stupid swine thug trash troll ugly vermin vile weirdo wimp worthless
-    wretch abruti con connard connasse crétin débile imbécile merde ordure salaud salope stupide
+    wretch abruti connard connasse crétin débile imbécile merde ordure salaud salope stupide
     arsch arschloch dummkopf idiota idioten mistkerl scheiße schwachkopf trottel cabrón estúpido
     gilipollas imbécil mierda pendejo tonto basura escoria abschaum dumm""".split()
 )

@@ -111,6 +111,29 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_components(spark):
+    from logtide.llm.common import Scratch
+
+    rng = np.random.default_rng(5)
+    path = [(i, i + 1) for i in range(60)]
+    star = [(1000, i) for i in range(200, 320)]
+    loose = [tuple(map(int, rng.integers(2000, 2080, 2))) for _ in range(60)]
+    links = path + star + loose + [(7, 7)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    got = {r.node: r.label for r in neardup.components(spark.createDataFrame(links, "a bigint, b bigint"), Scratch(spark, "test")).collect()}
+    assert got == {x: find(x) for x in parent if find(x) != x}
+    assert neardup.components(spark.createDataFrame([], "a bigint, b bigint"), Scratch(spark, "test")).count() == 0
+
+
 # --- decontamination ----------------------------------------------------------------------------
 
 
@@ -148,6 +171,13 @@ def test_leaks_match_brute_force(spark, sf_dir, docs):
     assert got == want and want
 
 
+def test_leaks_without_broadcasts(spark, sf_dir, docs, monkeypatch):
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    want = {tuple(r) for r in decontam.leaks(docs, bench).collect()}
+    monkeypatch.setattr(decontam, "SMALL", 0)
+    assert {tuple(r) for r in decontam.leaks(docs, bench).collect()} == want and want
+
+
 def test_leaks_of_edited_and_short_passages(spark, odd, none):
     item = " ".join(f"q{i}" for i in range(60))
     w = item.split()
@@ -310,6 +340,18 @@ def test_edited_texts(docs):
     assert len(got) == len(rows) and np.mean([r.near_edited for r in got.values()]) > 0.6 and np.mean([r.near_next for r in got.values()]) < 0.05
 
 
+def test_successors_across_gaps(spark, monkeypatch):
+    monkeypatch.setattr(winnow, "BUCKET_ROWS", 2)
+    ids = [*range(0, 40, 3), *range(100_000, 100_020), *range(5_000_000, 5_000_003), 90_000_000]
+    df = spark.createDataFrame([(i, f"text {i} " * 3) for i in ids], "doc_id bigint, text string")
+    got = {r.doc_id: r.edited_sha256 for r in winnow.compare_edited(df).collect()}
+    for i, n in zip(ids, ids[1:] + ids[:1]):
+        text, after = f"text {i} " * 3, f"text {n} " * 3
+        cut = len(text) // 4
+        assert got[i] == hashlib.sha256((text[: len(text) - cut] + after[:cut]).encode()).hexdigest()
+    assert len(got) == len(ids)
+
+
 def test_winnowing(spark):
     text = " ".join(f"w{i * 37 % 101}" for i in range(300))
     df = spark.createDataFrame([(0, text), (1, "other things " + text[200:500] + " and more"), (2, text)], "doc_id bigint, text string")
@@ -487,6 +529,19 @@ def test_surrogates(spark):
     assert m and (m[3].upper(), m[4].upper()) == (m[5], m[6]) and m[7] == m[4] and "Brown" not in got[3].text
 
 
+def test_cards_stay_valid(spark):
+    def valid(number):
+        digits = [int(c) for c in re.sub(r"\D", "", number)][::-1]
+        return (sum(digits[::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2])) % 10 == 0
+
+    cards = ["4111111111111111", "5500-0000-0000-0004", "3782 822463 10005", "4111111111111112"]
+    df = spark.createDataFrame([(i, f"pay {c} now") for i, c in enumerate(cards)], "doc_id bigint, text string")
+    for r in surrogate.pseudonymize(df, key="k").collect():
+        new = re.search(r"pay (.*) now", r.text)[1]
+        assert new != cards[r.doc_id] and new[0] == cards[r.doc_id][0] and len(new) == len(cards[r.doc_id])
+        assert r.doc_id == 3 or valid(new)
+
+
 def test_surrogates_stay_distinct(spark):
     rows = [(i, f"host 10.0.{i // 250}.{i % 250} and x{i}@a.io") for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
