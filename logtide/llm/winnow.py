@@ -76,10 +76,13 @@ def with_next(rows: DataFrame) -> tuple[DataFrame, object]:
     bucket = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / width).cast("bigint") if high is not None else F.lit(None), F.lit(-1).cast("bigint"))
     rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("bucket", bucket)
     heads = rows.groupBy("bucket").agg(F.min_by(F.struct("doc_id", "text", "tie"), F.struct("doc_id", "tie")).alias("head"))
-    numbers = rows.select("bucket").distinct()
-    before = numbers.withColumn("to", F.lag("bucket").over(Window.orderBy("bucket")))
-    top = numbers.agg(F.max("bucket").alias("top"))
-    before = before.join(F.broadcast(top)).select("bucket", F.coalesce("to", "top").alias("to"))  # one row
+    # the bucket before each one: in its own thousand, else the last one of the thousand before, else the very last
+    numbers = rows.select("bucket").distinct().withColumn("group", F.floor(F.col("bucket") / 1_000))
+    groups = numbers.groupBy("group").agg(F.max("bucket").alias("last"))
+    whole = Window.orderBy("group")
+    groups = groups.select("group", F.coalesce(F.lag("last").over(whole), F.max("last").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"))
+    inside = F.lag("bucket").over(Window.partitionBy("group").orderBy("bucket"))
+    before = numbers.withColumn("inside", inside).join(groups, "group").select("bucket", F.coalesce("inside", "before").alias("to"))
     ghosts = heads.join(before, "bucket").select("head.doc_id", "head.text", "head.tie", F.col("to").alias("bucket"), F.lit(1).alias("ghost"))
     return rows.withColumn("ghost", F.lit(0)).unionByName(ghosts), Window.partitionBy("bucket").orderBy("ghost", "doc_id", "tie")
 
