@@ -106,7 +106,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, similar: float = SIMILAR, id
     starts = starts.groupBy("key", "words", "start").agg(F.min("side").alias("lo"), F.max("side").alias("hi")).filter("lo < hi")
     windows = scratch.save(starts.groupBy("key").agg(F.collect_list(F.struct("words", "start")).alias("windows")), "windows")  # a list is bounded by its text
 
-    texts = rows.join(_small(windows.withColumnRenamed("key", "k")), F.col("key") == F.col("k"))
+    found = windows.withColumnRenamed("key", "k")
+    few = (windows.agg(F.sum(F.size("windows"))).first()[0] or 0) <= SMALL
+    texts = rows.join(F.broadcast(found) if few else found, F.col("key") == F.col("k"))
     texts = with_shingles(texts.select("doc_id", "key", "text", "windows"), "text", "all")
     cut = lambda w: F.struct(w["words"].alias("words"), w["start"].alias("start"), _window_shingles(w))
     window = texts.select("doc_id", "key", F.explode(F.transform("windows", cut)).alias("w"))
