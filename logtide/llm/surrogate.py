@@ -77,6 +77,20 @@ def _shaped(kind: Column, canon: Column, seed: Column) -> Column:
     return F.array_join(F.transform(chars, one), "")
 
 
+def _luhn(number: Column) -> Column:
+    """The last digit that gives a number of cards, without it, a valid checksum."""
+    digits = F.split(F.reverse(number), "")
+    worth = F.transform(digits, lambda c, i: F.when(i % 2 == 1, c.cast("int")).otherwise(c.cast("int") * 2 - F.when(c.cast("int") > 4, 9).otherwise(0)))
+    return ((10 - F.aggregate(worth, F.lit(0), lambda a, x: a + x) % 10) % 10).cast("string")
+
+
+def _checked(kind: Column, canon: Column, made: Column) -> Column:
+    """A card number's surrogate is as valid as the card number."""
+    body = lambda x: F.substr(x, F.lit(1), F.length(x) - 1)
+    valid = (kind == "card") & (_luhn(body(canon)) == F.right(canon, F.lit(1)))
+    return F.get(F.transform(F.array(made), lambda m: F.when(valid, F.concat(body(m), _luhn(body(m)))).otherwise(m)), F.lit(0))
+
+
 def _named(kind: Column, canon: Column, key: str, attempt: Column) -> Column:
     """A made-up name with as many parts; a given name ends by gender, and the script is the original's."""
     parts = F.split(canon, " ")
@@ -98,7 +112,7 @@ def surrogate(kind: str, canon: str, key: str, attempt: str) -> Column:
     kind, canon, attempt = F.col(kind), F.col(canon), F.col(attempt)
     seed = F.concat_ws("|", F.lit(key), kind, canon, attempt.cast("string"))
     ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (1 + _byte(seed, i) % 254).cast("string")), ".")
-    return F.when(kind.startswith("name"), _named(kind, canon, key, attempt)).when(kind == "ip", ip).otherwise(_shaped(kind, canon, seed))
+    return F.when(kind.startswith("name"), _named(kind, canon, key, attempt)).when(kind == "ip", ip).otherwise(_checked(kind, canon, _shaped(kind, canon, seed)))
 
 
 def rendered(kind: Column, value: Column, new: Column) -> Column:
