@@ -5,9 +5,10 @@
    stands for it, so a group of exact copies costs one row from here on.
 2. Classes that share a band hash are candidates. At the threshold 0.85 a pair shares none of 32
    bands of five minima with a probability of 10^-8. Buckets with the same members count once.
-3. A bucket is verified on full shingle sets by one matrix product; a bucket above ``BLOCK``
-   members is dealt out in blocks, and each pair of blocks is a task of its own. Tasks return
-   spanning links only, never all pairs.
+3. A bucket is verified on full shingle sets by one matrix product. A bucket above ``BLOCK`` members
+   is dealt out in blocks: first each against one of them, which brings a group of near copies
+   together in linear work, then what is not yet in the bucket's largest component against all.
+   Tasks return spanning links only, never all pairs.
 4. Components come from alternating large-star and small-star rounds over the links.
 """
 
@@ -124,12 +125,28 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
         state = new
         both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
+        # the minima are written first, so that the join may split a node with very many links
+        low = first = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")), "minima")
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = scratch.save(large, "large")
+        low = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")), "minima")
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).distinct()
         old, edges = edges, scratch.save(small, "links")
-        scratch.drop(old)
+        scratch.drop(old, first, large, low)
+
+
+def _apart(hot: DataFrame, labels: DataFrame, block: int) -> DataFrame:
+    """Units of a large bucket's members that the first pass has not brought into its largest component, against all its members."""
+    named = hot.select("band", "id").join(labels, F.col("id") == F.col("node"), "left").select("band", "id", F.coalesce("label", "id").alias("component"))
+    sizes = named.groupBy("band", "component").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all")).filter("all > top.n")
+    parts = lambda n: F.ceil(n / block).cast("int")
+    sizes = sizes.select("band", F.col("top.component").alias("largest"), parts(F.col("all") - F.col("top.n")).alias("outer"), parts(F.col("all")).alias("inner"))
+    placed = named.join(sizes, "band")
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = placed.filter("component <> largest").select("band", "id", F.lit(0).alias("block"), deal("outer").alias("i"), every("inner").alias("j"))
+    return left.union(placed.select("band", "id", F.lit(1).alias("block"), every("outer").alias("i"), deal("inner").alias("j")))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, block: int = BLOCK) -> DataFrame:
@@ -159,11 +176,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         .select("band", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     )
     members = bands.join(buckets, "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    units = members.select("band", "id", "block", other).select("band", "id", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    texts = rows.filter("id is not null").withColumnRenamed("id", "doc")
-    placed = units.join(texts, F.col("id") == F.col("doc")).select("band", "i", "j", "id", "block", "text").filter("text is not null")
-    links = placed.groupBy("band", "i", "j").applyInPandas(_verify(percent), "a bigint, b bigint")
+    members = scratch.save(members, "members")
+    # texts of candidates only, so that the passes below do not move all texts again; a shuffle at any size
+    texts = rows.filter("id is not null and text is not null").withColumnRenamed("id", "doc")
+    texts = scratch.save(texts.join(members.select("id").distinct().hint("merge"), F.col("doc") == F.col("id"), "left_semi"), "texts")
+
+    def verified(units: DataFrame) -> DataFrame:
+        placed = units.join(texts, F.col("id") == F.col("doc")).select("band", "i", "j", "id", "block", "text")
+        return scratch.save(placed.groupBy("band", "i", "j").applyInPandas(_verify(percent), "a bigint, b bigint"), "verified")
+
+    to = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    links = verified(members.select("band", "id", "block", F.lit(0).alias("i"), F.explode(to).alias("j")))
+    hot = members.filter("blocks > 1")
+    if hot.limit(1).count():
+        links = links.union(verified(_apart(hot, components(links, scratch), block)))
     labels = components(links, scratch)
     named = classes.join(labels, classes.rep == labels.node, "left").select(F.col("digest").alias("d"), F.coalesce("label", "rep").alias("component"))
     out = described.select("id", "n", "digest").join(named, F.col("digest") == F.col("d"), "left")
