@@ -28,15 +28,6 @@ def test_snappy_is_read_in_chunks():
     import pyarrow as pa
 
     plain = codec.encode_records(RECORDS)
-
-    def size(n):
-        out = bytearray()
-        while n > 0x7F:
-            out.append(n & 0x7F | 0x80)
-            n >>= 7
-        return bytes(out + bytes([n]))
-
-    del size
     one = pa.compress(plain[:20], codec="snappy", asbytes=True)
     two = pa.compress(plain[20:], codec="snappy", asbytes=True)
     framed = b"\x82SNAPPY\x00" + struct.pack(">ii", 1, 1) + b"".join(struct.pack(">i", len(x)) + x for x in (one, two))
