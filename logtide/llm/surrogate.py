@@ -17,19 +17,21 @@ from .common import Scratch
 # Titles that precede a name.
 FEMALE, MALE, EITHER = "Mrs|Ms|Miss|Mme|Mlle|Madame|Frau|Sra|Señora|Doña|Г-жа|MRS|MISS|FRAU", "Mr|Herr|Monsieur|Sr|Señor|Don|Г-н|MR|HERR", "Dr|Prof"
 _TITLE = rf"(?:{FEMALE}|{MALE}|{EITHER})"
-_NAME = r"\p{Lu}[\p{L}'’-]{1,40}"
+_PART = r"\p{Lu}[\p{L}'’-]++"
+#: A name ends before the next title.
+_NAME = rf"{_PART}(?: (?!{_TITLE}\b){_PART})*+"
 
 #: Kind, pattern of the entity in a text. Of several that match at a place the first counts.
 PATTERNS = (
-    ("secret", r"""(?<=\b(?i:password|passwd|pwd|passphrase|secret|token|api_key|api-key|apikey|access_key)["']?\s{0,3}[=:]\s{0,3}["']?)[A-Za-z0-9_+/=.~!@#%^&*-]{6,200}(?<![.])"""),
+    ("secret", r"""(?<=\b(?i:password|passwd|pwd|passphrase|secret|token|api_key|api-key|apikey|access_key)["']?\s{0,3}[=:]\s{0,3}["']?)[A-Za-z0-9_+/=.~!@#%^&*-]{6,}(?<![.])"""),
     ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}\b"),
-    ("key", r"\b(?:AKIA|ASIA|ghp_|gho_|ghs_|sk-|pk-|xox[bap]-)[A-Za-z0-9-]{12,100}\b"),
+    ("key", r"\b(?:AKIA|ASIA|ghp_|gho_|ghs_|sk-|pk-|xox[bap]-)[A-Za-z0-9-]{12,}\b"),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"),
     ("card", r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"),
     ("phone", r"(?<![\w.])(?:\+\d[\d ().-]{6,22}\d|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w])"),
     ("ssn", r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])"),
-    ("name", rf"\b{_TITLE}\.? {_NAME}(?: {_NAME})?"),
+    ("name", rf"\b{_TITLE}\.? {_NAME}"),
 )
 ENTITY = "|".join(f"(?:{p})" for _, p in PATTERNS)
 SYLLABLES = [c + v for c in "bdfgklmnprstvz" for v in "aeiou"]
@@ -39,8 +41,8 @@ LATIN, CYRILLIC, GREEK = "abdefgiklmnoprstuvz", "абдефгиклмнопрс
 def kind_of(value: Column) -> Column:
     """The kind of a found entity, from its own form."""
     only = lambda p: value.rlike(rf"^(?:{p})$")
-    first = F.when(only(rf"(?:{FEMALE})\.? {_NAME}(?: {_NAME})?"), F.lit("name_f")).when(only(rf"(?:{MALE})\.? {_NAME}(?: {_NAME})?"), F.lit("name_m"))
-    first = first.when(only(rf"(?:{EITHER})\.? {_NAME}(?: {_NAME})?"), F.lit("name"))
+    first = F.when(only(rf"(?:{FEMALE})\.? {_NAME}"), F.lit("name_f")).when(only(rf"(?:{MALE})\.? {_NAME}"), F.lit("name_m"))
+    first = first.when(only(rf"(?:{EITHER})\.? {_NAME}"), F.lit("name"))
     for kind, pattern in PATTERNS[1:-1]:
         first = first.when(only(pattern), F.lit(kind))
     return first.otherwise(F.lit("secret"))
@@ -52,6 +54,11 @@ def canonical(kind: Column, value: Column) -> Column:
     return F.when(kind.startswith("name"), name).when(kind.isin("secret", "key"), value).when(kind == "email", F.lower(value)).when(kind == "ip", value).otherwise(F.upper(plain))
 
 
+def _once(value: Column, f) -> Column:
+    """f of a value that is computed once, not again for each element that f goes through."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _byte(seed: Column, i: Column) -> Column:
     """The i-th number below 256 of a keyed stream."""
     block = F.sha2(F.concat_ws("|", seed, F.floor(i / 32).cast("string")), 256)
@@ -65,14 +72,15 @@ def _shaped(kind: Column, canon: Column, seed: Column) -> Column:
     tail = F.when(kind == "email", F.length(F.regexp_extract(canon, r"\.([A-Za-z]+)$", 1))).otherwise(F.lit(0))
     base16 = canon.rlike("^[0-9a-f]{12,}$") | canon.rlike("^[0-9A-F]{12,}$")
 
-    def one(c, i):
-        b = _byte(seed, i)
-        span = F.when(base16, F.lit(6)).otherwise(F.lit(26))
+    def one(x, c, i):
+        b = _byte(x["seed"], i)
+        span = F.when(x["base16"], F.lit(6)).otherwise(F.lit(26))
         first = F.when(c.rlike("[a-z]"), F.lit(97)).otherwise(F.lit(65))
         new = F.when(c.rlike("[0-9]"), (b % 10).cast("string")).otherwise(F.char(first + b % span))
-        return F.when((i < head) | (i >= F.size(chars) - tail), c).otherwise(new)
+        return F.when((i < x["head"]) | (i >= F.size(x["chars"]) - x["tail"]), c).otherwise(new)
 
-    return F.array_join(F.transform(chars, one), "")
+    known = F.struct(chars.alias("chars"), head.alias("head"), tail.alias("tail"), base16.alias("base16"), seed.alias("seed"))
+    return _once(known, lambda x: F.array_join(F.transform(x["chars"], lambda c, i: one(x, c, i)), ""))
 
 
 def _luhn(number: Column) -> Column:
@@ -86,7 +94,7 @@ def _checked(kind: Column, canon: Column, made: Column) -> Column:
     """A card number's surrogate is as valid as the card number."""
     body = lambda x: F.substr(x, F.lit(1), F.length(x) - 1)
     valid = (kind == "card") & (_luhn(body(canon)) == F.right(canon, F.lit(1)))
-    return F.get(F.transform(F.array(made), lambda m: F.when(valid, F.concat(body(m), _luhn(body(m)))).otherwise(m)), F.lit(0))
+    return _once(made, lambda m: F.when(valid, F.concat(body(m), _luhn(body(m)))).otherwise(m))
 
 
 def _named(kind: Column, canon: Column, key: str, attempt: Column) -> Column:
@@ -108,26 +116,29 @@ def _named(kind: Column, canon: Column, key: str, attempt: Column) -> Column:
 def surrogate(kind: str, canon: str, key: str, attempt: str) -> Column:
     """The surrogate's canonical form."""
     kind, canon, attempt = F.col(kind), F.col(canon), F.col(attempt)
-    seed = F.concat_ws("|", F.lit(key), kind, canon, attempt.cast("string"))
+    brief = F.when(F.length(canon) > 200, F.sha2(canon, 256)).otherwise(canon)  # the seed is hashed once for every 32 characters
+    seed = F.concat_ws("|", F.lit(key), kind, brief, attempt.cast("string"))
     ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (1 + _byte(seed, i) % 254).cast("string")), ".")
     return F.when(kind.startswith("name"), _named(kind, canon, key, attempt)).when(kind == "ip", ip).otherwise(_checked(kind, canon, _shaped(kind, canon, seed)))
 
 
 def rendered(kind: Column, value: Column, new: Column) -> Column:
     """A surrogate written as the original was: its punctuation, spacing and case."""
-    chars = F.split(value, "")
     alnum = lambda c: c.rlike("^[A-Za-z0-9]$")
 
-    def one(c, i):
-        at = F.size(F.filter(F.slice(chars, F.lit(1), i + 1), alnum))
-        put = F.substring(new, at, F.lit(1))
-        put = F.when(kind.isin("secret", "key"), put).when(c.rlike("[A-Z]"), F.upper(put)).when(c.rlike("[a-z]"), F.lower(put)).otherwise(put)
-        return F.when(alnum(c), put).otherwise(c)
+    def cased(c, put):
+        return F.when(kind.isin("secret", "key"), put).when(c.rlike("[A-Z]"), F.upper(put)).when(c.rlike("[a-z]"), F.lower(put)).otherwise(put)
+
+    def filled(marked):
+        own = F.filter(marked, lambda x: alnum(x["c"]))
+        puts = F.zip_with(own, F.filter(F.split(new, ""), alnum), lambda x, p: F.struct(x["i"].alias("i"), cased(x["c"], p).alias("c")))
+        return F.array_join(F.transform(F.array_sort(F.concat(puts, F.filter(marked, lambda x: ~alnum(x["c"])))), lambda x: x["c"]), "")
 
+    whole = _once(F.transform(F.split(value, ""), lambda c, i: F.struct(i.alias("i"), c.alias("c"))), filled)
     title = F.regexp_extract(value, rf"^{_TITLE}\.? ", 0)
     bare = F.substr(value, F.length(title) + 1)
     name = F.concat(title, F.when(F.upper(bare) == bare, F.upper(new)).otherwise(F.initcap(new)))
-    return F.when(kind.startswith("name"), name).when(kind == "ip", new).otherwise(F.array_join(F.transform(chars, one), ""))
+    return F.when(kind.startswith("name"), name).when(kind == "ip", new).otherwise(whole)
 
 
 def assign(entities: DataFrame, key: str, scratch: Scratch, *, rounds: int = 20) -> DataFrame:
@@ -157,7 +168,8 @@ def pseudonymize(docs: DataFrame, *, key: str, id_col: str = "doc_id", text_col:
     """Per row: doc_id, text with surrogates, n_entities.
 
     A null text stays null with no entities; an empty one stays empty. Ids may be null or repeat: equal
-    texts get equal texts. Other columns are ignored. Texts can be of any length.
+    texts get equal texts. Other columns are ignored. Texts, secrets, keys and names can be of any length;
+    the local part of an email has 64 characters at most, as its standard says.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     return replace(rows, key=key).select("doc_id", "text", F.col("_n_entities").alias("n_entities"))

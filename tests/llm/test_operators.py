@@ -538,6 +538,20 @@ def test_entities_alone_in_a_text(spark):
         assert got[i].n_entities == 1 and x not in got[i].text and got[100 + i].text == "in 1990 " + got[i].text
 
 
+def test_long_entities_are_replaced_whole(spark):
+    body = "".join("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"[i * i % 61] for i in range(5_000))
+    texts = [f"token={body[:300]}", f"password={body}.", f"token={body[:150]}.{body[150:250]}", f"use sk-{body[:150]} now", f"use ghp_{body} now"]
+    texts += ["Mrs Anna Maria Kowalska came", "Mr. Juan Carlos Pedro Garcia Mrs. Eva Maria Lopez Dr Rosa", "Frau A" + "b" * 100 + " ging"]
+    got = {r.doc_id: r for r in surrogate.pseudonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), key="k").collect()}
+    for i, n in ((0, 6), (1, 9), (2, 6), (3, 11), (4, 12)):  # a key's kind stays
+        new, old = got[i].text, texts[i]
+        assert got[i].n_entities == 1 and len(new) == len(old) and new[:n - 4] == old[:n - 4]
+        assert not any(old[k : k + 12] in new for k in range(n, len(old) - 16)) and [c.isalnum() for c in new] == [c.isalnum() for c in old]
+    assert re.fullmatch(r"Mrs \w+na \w+ \w+ came", got[5].text) and not re.search("Anna|Maria|Kowalska", got[5].text)
+    assert got[6].n_entities == 3 and re.fullmatch(r"Mr\. \w+ro \w+ \w+ \w+ Mrs\. \w+na \w+ \w+ Dr \w+", got[6].text) and not re.search("Carlos|Pedro|Garcia|Lopez|Rosa", got[6].text)
+    assert "bbb" not in got[7].text and got[7].text.endswith(" ging")
+
+
 def test_cards_stay_valid(spark):
     def valid(number):
         digits = [int(c) for c in re.sub(r"\D", "", number)][::-1]
