@@ -470,6 +470,25 @@ def test_table_numbers_follow_their_distribution():
     assert 20 < big[0] < 80 and list(big[1:]) == [1, 0]
 
 
+@pytest.mark.parametrize("d", [0.1, 0.5, 0.8, 0.95])
+def test_table_numbers_of_many_customers(d):
+    rng, exact, s = np.random.default_rng(5), pitmanyor.log_stirling(d, 2000), pitmanyor.log_stirling(d)
+    for c in (65, 300, 2000):
+        for x in (0.5, 5.0, 60.0):
+            k = np.arange(1, c + 1)
+            p = exact[c, 1 : c + 1] + k * math.log(x)
+            p = np.exp(p - p.max()) / np.exp(p - p.max()).sum()
+            q = pitmanyor.log_stirling_row(c, d, c) + k * math.log(x)
+            q = np.exp(q - q.max()) / np.exp(q - q.max()).sum()
+            assert abs(p - q).sum() < 1e-3
+            mean, dev = (p * k).sum(), math.sqrt((p * k**2).sum() - (p * k).sum() ** 2)
+            got = pitmanyor.sample_tables(np.full(3000, c), np.full(3000, x), d, s, rng)
+            assert abs(got.mean() - mean) < 5 * dev / math.sqrt(3000) + 1e-3
+    # as c grows, t - 1 tends to a Poisson number of mean x / d
+    got = pitmanyor.sample_tables(np.full(3000, 10**9), np.full(3000, 5.0), 0.8, pitmanyor.log_stirling(0.8), rng)
+    assert abs(got.mean() - 7.25) < 0.25
+
+
 def test_scores_of_odd_rows(odd, none):
     got = pitmanyor.score_all(odd, local=4)
     rows = got.collect()
