@@ -1,7 +1,7 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
 A text is read as pieces in lower case: up to ``PIECE`` characters of a word, or single characters of
-the scripts that put no spaces between words. A rolling (cyclic polynomial) hash
+the scripts that put no spaces between words and of runs longer than ``WORD``. A rolling (cyclic polynomial) hash
 covers every ``K`` pieces; of every ``W`` neighbouring hashes the smallest is chosen, of equal ones
 the rightmost, and its position is kept. So any run of ``K + W - 1`` pieces that two texts share is
 found in both fingerprints.
@@ -9,17 +9,17 @@ found in both fingerprints.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K, W, PIECE = 4, 4, 4
-#: From Thai to Hangul a character is a piece of its own.
-PIECES = rf"[^\s\u0E00-\uD7FF]{{1,{PIECE}}}|\S"
-#: A chosen gram is one number: 32 bits of hash, then its position counted down from the last possible one.
-POSITION_BITS = 25
-LAST = (1 << POSITION_BITS) - 1
-#: Documents that one task orders.
-BUCKET_ROWS = 2_000
+K, W, PIECE, WORD = 4, 4, 4, 16
+#: From Thai to Hangul a character is a piece of its own, and in a run of more than WORD characters until WORD are left.
+_LETTER = r"[^\x20\x09-\x0D\u0E00-\uD7FF]"
+PIECES = rf"{_LETTER}{{1,{PIECE}}}(?!{_LETTER}{{{WORD - PIECE + 1}}})|[^\x20\x09-\x0D]"
+#: Documents that one task orders, until there are MOST buckets; keys that one task ranks.
+BUCKET_ROWS, MOST, RANKED = 2_000, 16_384, 10_000
 
 
 def _rotate(x: Column, bits: int) -> Column:
@@ -33,30 +33,28 @@ def _beside(name: str, step: int, f) -> Column:
 
 
 def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds ``out``: the chosen grams of a text column as packed numbers, in order of position."""
+    """Adds ``out``: the chosen grams of a text column as (hash, pos), in order of position, and ``out``_set: their hashes."""
     df = df.withColumn("_p", F.regexp_extract_all(F.lower(text), F.lit(PIECES), F.lit(0)))
     df = df.withColumn("_h", F.transform("_p", lambda t: F.xxhash64(t)))
     df = df.withColumn("_h2", _beside("_h", 1, lambda x, y: _rotate(x, 7).bitwiseXOR(y)))
     df = df.withColumn("_h4", _beside("_h2", 2, lambda x, y: _rotate(x, 14).bitwiseXOR(y)))
     few = F.when(F.size("_p") > 0, F.array(F.xxhash64("_p"))).otherwise(F.array().cast("array<bigint>"))
     df = df.withColumn("_g", F.when(F.size("_p") >= K, F.col("_h4")).otherwise(few))
-    packed = lambda x, i: F.shiftleft(x.bitwiseAND((1 << 32) - 1), POSITION_BITS).bitwiseOR(F.greatest(F.lit(0), LAST - i).cast("bigint"))
-    df = df.withColumn("_g", F.transform("_g", packed))
     df = df.withColumn("_m2", _beside("_g", 1, lambda x, y: F.least(x, y)))
     df = df.withColumn("_m4", _beside("_m2", 2, lambda x, y: F.least(x, y)))
-    short = F.when(F.size("_g") > 0, F.array(F.array_min("_g"))).otherwise(F.array().cast("array<bigint>"))
-    df = df.withColumn(out, F.when(F.size("_g") >= W, F.array_distinct("_m4")).otherwise(short))
-    return df.drop("_p", "_h", "_h2", "_h4", "_g", "_m2", "_m4")
+    # a window's place of its minimum, looked for from the right
+    place = lambda m, i: F.when(F.get("_g", i + 3) == m, i + 3).when(F.get("_g", i + 2) == m, i + 2).when(F.get("_g", i + 1) == m, i + 1).otherwise(i)
+    whole = F.array(F.size("_g") - F.array_position(F.reverse("_g"), F.array_min("_g")).cast("int"))
+    short = F.when(F.size("_g") > 0, whole).otherwise(F.array().cast("array<int>"))
+    df = df.withColumn("_at", F.when(F.size("_g") >= W, F.array_distinct(F.transform("_m4", place))).otherwise(short))
+    df = df.withColumn(out, F.transform("_at", lambda i: F.struct(F.get("_g", i).alias("hash"), i.alias("pos"))))
+    df = df.withColumn(f"{out}_set", F.array_distinct(F.transform("_at", lambda i: F.get("_g", i))))
+    return df.drop("_p", "_h", "_h2", "_h4", "_g", "_m2", "_m4", "_at")
 
 
 def shown(grams: str) -> Column:
     """A fingerprint as text: hash@position of each chosen gram."""
-    one = lambda x: F.concat_ws("@", F.hex(F.shiftright(x, POSITION_BITS)), (LAST - x.bitwiseAND(LAST)).cast("string"))
-    return F.array_join(F.transform(grams, one), " ")
-
-
-def hashes(grams: str) -> Column:
-    return F.array_distinct(F.transform(grams, lambda x: F.shiftright(x, POSITION_BITS)))
+    return F.array_join(F.transform(grams, lambda x: F.concat_ws("@", F.hex(x["hash"]), x["pos"].cast("string"))), " ")
 
 
 def likeness(a: str, b: str) -> Column:
@@ -65,25 +63,42 @@ def likeness(a: str, b: str) -> Column:
     return F.when(both == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / both)
 
 
-def with_next(rows: DataFrame) -> tuple[DataFrame, object]:
+def _bounds(keys: DataFrame) -> list[tuple[int | None, int]]:
+    """Every so many-th key (doc_id, tie) in order: at most MOST and one for each task that ranks."""
+    n = keys.count()
+    step, tasks = max(BUCKET_ROWS, -(-n // MOST)), min(4_096, -(-n // RANKED))
+    if not n:
+        return []
+    ranged = keys.repartitionByRange(tasks, "doc_id", "tie").withColumn("task", F.spark_partition_id())
+    ranked = ranged.withColumn("rank", F.row_number().over(Window.partitionBy("task").orderBy("doc_id", "tie")))
+    found = ranked.filter(F.col("rank") % step == 1 if step > 1 else F.lit(True)).select("doc_id", "tie").collect()
+    return sorted(((r[0], r[1]) for r in found), key=lambda k: (k[0] is not None, k))
+
+
+def with_next(rows: DataFrame) -> tuple[DataFrame, Window]:
     """Rows (doc_id, text) dealt into buckets of neighbouring ids, and the window that orders a bucket.
 
-    Every bucket also gets a ``ghost``: the first row of the next bucket, or of the first one after the
-    last, so that each row's successor is in its own bucket and texts are shuffled once.
+    Bounds of the buckets are keys of the table itself, so ids may lie anywhere. Every bucket also gets a
+    ``ghost``: the first row of the next bucket, or of the first one after the last, so that each row's
+    successor is in its own bucket and texts are shuffled once. Rows that repeat both id and text more often
+    than a bucket holds are dealt over several buckets, where all but the last row's successor is its like.
     """
-    low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    width = max(1, ((high - low + 1) * BUCKET_ROWS) // n) if high is not None else 1
-    bucket = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / width).cast("bigint") if high is not None else F.lit(None), F.lit(-1).cast("bigint"))
-    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("bucket", bucket)
-    heads = rows.groupBy("bucket").agg(F.min_by(F.struct("doc_id", "text", "tie"), F.struct("doc_id", "tie")).alias("head"))
-    # the bucket before each one: in its own thousand, else the last one of the thousand before, else the very last
-    numbers = rows.select("bucket").distinct().withColumn("group", F.floor(F.col("bucket") / 1_000))
-    groups = numbers.groupBy("group").agg(F.max("bucket").alias("last"))
-    whole = Window.orderBy("group")
-    groups = groups.select("group", F.coalesce(F.lag("last").over(whole), F.max("last").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"))
-    inside = F.lag("bucket").over(Window.partitionBy("group").orderBy("bucket"))
-    before = numbers.withColumn("inside", inside).join(groups, "group").select("bucket", F.coalesce("inside", "before").alias("to"))
-    ghosts = heads.join(before, "bucket").select("head.doc_id", "head.text", "head.tie", F.col("to").alias("bucket"), F.lit(1).alias("ghost"))
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    bounds = _bounds(rows.select("doc_id", "tie"))
+    n, key = len(bounds), F.struct("doc_id", "tie")
+    listed = F.from_json(F.lit(json.dumps([{"doc_id": d, "tie": t} for d, t in bounds])), "array<struct<doc_id:bigint,tie:bigint>>")
+    steps = F.array(*(F.lit(1 << j) for j in reversed(range(max(1, n.bit_length())))))
+    last = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step < n) & (F.get(listed, at + step) <= key), at + step).otherwise(at))
+    rows = rows.withColumn("bucket", last if n else F.lit(0))
+    repeats = {b: bounds.index(b) for i, b in enumerate(bounds) if i and bounds[i - 1] == b}
+    ghosts = rows.filter(F.get(listed, "bucket") == key) if n else rows
+    if repeats:
+        some = F.from_json(F.lit(json.dumps([{"doc_id": d, "tie": t, "first": i} for (d, t), i in repeats.items()])), "array<struct<doc_id:bigint,tie:bigint,first:int>>")
+        first = F.get(F.filter(some, lambda x: F.struct(x["doc_id"].alias("doc_id"), x["tie"].alias("tie")) == key), F.lit(0))["first"]
+        like = ghosts.filter(first.isNotNull()).groupBy("doc_id", "tie").agg(F.first("text").alias("text")).withColumn("bucket", first).select(*rows.columns)
+        ghosts = ghosts.filter(first.isNull()).unionByName(like)
+        rows = rows.withColumn("bucket", F.when(first.isNotNull(), first + F.pmod(F.monotonically_increasing_id(), F.col("bucket") - first + 1).cast("int")).otherwise(F.col("bucket")))
+    ghosts = ghosts.withColumn("bucket", F.pmod(F.col("bucket") - 1, F.lit(max(n, 1)))).withColumn("ghost", F.lit(1))
     return rows.withColumn("ghost", F.lit(0)).unionByName(ghosts), Window.partitionBy("bucket").orderBy("ghost", "doc_id", "tie")
 
 
@@ -93,17 +108,18 @@ def compare_edited(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     The edited text is the text with its last floor(n_chars / 4) code points replaced by the first as
     many of the next row's text by ascending doc_id; after the last comes the first. A null text is the
     empty one: no fingerprint, and 1.0 near another empty one. Null ids come first; rows that share an
-    id follow one another by a hash of their text. Other columns are ignored.
+    id follow one another by a hash of their text. Ids may lie anywhere in their type's range. Other
+    columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows, order = with_next(rows)
-    df = rows.withColumn("n_chars", F.char_length("text").cast("bigint")).withColumn("next", F.lead("text").over(order))
+    df = rows.withColumn("n_chars", F.char_length("text").cast("bigint")).withColumn("next", F.coalesce(F.lead("text").over(order), "text"))
     cut = F.expr("n_chars div 4").cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - cut).cast("int")), F.substring(F.coalesce("next", F.lit("")), F.lit(1), cut))
+    edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - cut).cast("int")), F.substring("next", F.lit(1), cut))
     df = df.withColumn("edited", edited).drop("next")
     df = fingerprint(fingerprint(df, "text", "own"), "edited", "other")
-    df = df.select("bucket", "ghost", "doc_id", "tie", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", "other", hashes("own").alias("own_set"), hashes("other").alias("other_set"))
-    df = df.withColumn("next_set", F.lead("own_set").over(order)).filter("ghost = 0")
+    df = df.select("bucket", "ghost", "doc_id", "tie", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", "other", "own_set", "other_set")
+    df = df.withColumn("next_set", F.coalesce(F.lead("own_set").over(order), "own_set")).filter("ghost = 0")
     return df.select(
         "doc_id", "n_chars", "edited_sha256", shown("own").alias("fingerprint"), shown("other").alias("edited_fingerprint"),
         likeness("own_set", "other_set").alias("near_edited"), likeness("own_set", "next_set").alias("near_next"),

@@ -352,18 +352,83 @@ def test_successors_across_gaps(spark, monkeypatch):
     assert len(got) == len(ids)
 
 
+def plain_fingerprint(text):
+    """(hash, position) of the chosen grams and the set of hashes, without Spark."""
+    import xxhash
+
+    regex = pytest.importorskip("regex")
+    full = 2**64 - 1
+    signed = lambda x: x - 2**64 if x >> 63 else x
+    turn = lambda x, n: (x << n | x >> (64 - n)) & full
+    pieces = regex.findall(winnow.PIECES, text.lower())
+    h = [xxhash.xxh64(p.encode(), seed=42).intdigest() for p in pieces]
+    grams = [signed(turn(turn(h[i], 7) ^ h[i + 1], 14) ^ turn(h[i + 2], 7) ^ h[i + 3]) for i in range(len(h) - 3)]
+    if 0 < len(pieces) < 4:
+        seed = 42
+        for p in pieces:
+            seed = xxhash.xxh64(p.encode(), seed=seed).intdigest()
+        grams = [signed(seed)]
+    chosen = {max(range(i, min(i + 4, len(grams))), key=lambda j: (-grams[j], j)) for i in range(max(1, len(grams) - 3))} if grams else set()
+    return [(grams[i], i) for i in sorted(chosen)], {grams[i] for i in chosen}
+
+
+def plain_comparison(rows):
+    """compare_edited without Spark."""
+    like = lambda a, b: 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
+    shown = lambda f: " ".join(f"{h % 2**64:X}@{i}" for h, i in f)
+    import xxhash
+
+    tie = lambda t: (lambda x: x - 2**64 if x >> 63 else x)(xxhash.xxh64(t.encode(), seed=42).intdigest())
+    rows = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, tie(r[1])))
+    out = []
+    for i, (d, text) in enumerate(rows):
+        after = rows[(i + 1) % len(rows)][1]
+        cut = len(text) // 4
+        edited = text[: len(text) - cut] + after[:cut]
+        (own, a), (other, b), (_, c) = plain_fingerprint(text), plain_fingerprint(edited), plain_fingerprint(after)
+        out.append((d, len(text), hashlib.sha256(edited.encode()).hexdigest(), shown(own), shown(other), like(a, b), like(a, c)))
+    return sorted(out, key=repr)
+
+
+HUGE = 2**63
+IDS = {
+    "spread": [-HUGE, -5, 0, 7, HUGE - 1], "clustered": [*range(40), HUGE // 8], "null": [None] * 30 + [1, 2], "same": [7] * 25 + [8] * 3 + [None],
+}
+
+
+@pytest.mark.parametrize("ids", sorted(IDS))
+@pytest.mark.parametrize("step", [1, 4, 2_000])
+def test_comparison_matches_a_version_without_spark(spark, monkeypatch, ids, step):
+    monkeypatch.setattr(winnow, "BUCKET_ROWS", step)
+    monkeypatch.setattr(winnow, "RANKED", 9)
+    texts = [" ".join(f"w{i * j % 13}" for j in range(i % 11)) + "xyz" * (i % 3) for i in range(len(IDS[ids]))]
+    rows = list(zip(IDS[ids], texts)) + [(IDS[ids][0], "many times the same")] * 20
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    assert sorted((tuple(r) for r in winnow.compare_edited(df).collect()), key=repr) == plain_comparison(rows)
+
+
+def test_comparison_of_documents_matches_a_version_without_spark(docs):
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()] + [(10**6, LONG[:3000]), (10**6 + 1, "z" * 50 + LONG[:500]), (10**6 + 2, None)]
+    df = docs.sparkSession.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted((tuple(r) for r in winnow.compare_edited(df).collect()), key=repr) == plain_comparison(rows)
+
+
 def test_winnowing(spark):
     text = " ".join(f"w{i * 37 % 101}" for i in range(300))
     df = spark.createDataFrame([(0, text), (1, "other things " + text[200:500] + " and more"), (2, text)], "doc_id bigint, text string")
-    rows = winnow.fingerprint(winnow.fingerprint(df, "text", "grams").withColumn("pieces", F.regexp_extract_all(F.lower("text"), F.lit(winnow.PIECES), F.lit(0))), "text", "again").orderBy("doc_id").collect()
+    rows = winnow.fingerprint(df, "text", "grams").withColumn("pieces", F.regexp_extract_all(F.lower("text"), F.lit(winnow.PIECES), F.lit(0))).orderBy("doc_id").collect()
     for r in rows:
-        at = [winnow.LAST - (g & winnow.LAST) for g in r.grams]
+        at = [g.pos for g in r.grams]
         assert at == sorted(at) and at[0] < winnow.W and max(np.diff(at)) <= winnow.W and len(r.pieces) - winnow.K - at[-1] < winnow.W
-    a, b, c = ({g >> winnow.POSITION_BITS for g in r.grams} for r in rows)
+    a, b, c = (set(r.grams_set) for r in rows)
     assert a == c and len(a & b) >= 5
     # of equal hashes in a window the rightmost is chosen
     same = winnow.fingerprint(spark.createDataFrame([("x " * 30,)], "text string"), "text", "grams").first().grams
-    assert [winnow.LAST - (g & winnow.LAST) for g in same] == list(range(winnow.W - 1, 27))
+    assert [g.pos for g in same] == list(range(winnow.W - 1, 27))
+    # a run without spaces is found wherever it begins
+    run = "".join("abcdefghijklmnopqrstuvwxyz0123456789"[i * i * 7 % 36] + "qz"[i % 2] for i in range(2_000))
+    x, y = (set(r.grams_set) for r in winnow.fingerprint(spark.createDataFrame([(run,), ("!" + run,)], "text string"), "text", "grams").collect())
+    assert len(x & y) > 0.95 * len(x)
 
 
 def test_fingerprints_of_odd_rows(odd, none, spark):
