@@ -585,6 +585,58 @@ def test_language_of_odd_rows(odd, none):
     assert langid.identify(none).count() == 0 and {r.lang_pred for r in langid.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def plain_languages(rows):
+    """identify without Spark, numpy or an index: (id, prediction, score) from (id, text, language)."""
+    regex = pytest.importorskip("regex")
+    split = lambda t: [w for w in regex.split(r"[^\p{L}\p{M}]+", t.lower()) if regex.search(r"\p{L}", w)]
+    taught = [(t, lang) for d, t, lang in rows if d is not None and t is not None and lang is not None and zlib.crc32(str(d).encode()) % 4 != 2]
+    langs = sorted({lang for _, lang in taught})
+    grams = lambda w, n: [f" {w} "[i : i + n] for i in range(len(w) + 3 - n)]
+    word = {x: Counter(w for t, lang in taught if lang == x for w in split(t)) for x in langs}
+    gram = {(x, n): Counter(g for t, lang in taught if lang == x for w in split(t) for g in grams(w, n)) for x in langs for n in range(1, 6)}
+
+    def logs(of, key):
+        kinds = len(set().union(*(of(x) for x in langs)))
+        return [math.log((of(x)[key] + 0.5) / (sum(of(x).values()) + 0.5 * (kinds + 1))) for x in langs]
+
+    def scores(w):
+        if any(word[x][w] for x in langs):
+            return logs(lambda x: word[x], w)
+        for n in range(5, 0, -1):
+            known = [g for g in grams(w, n) if any(gram[x, n][g] for x in langs)]
+            if known:
+                each = [logs(lambda x, n=n: gram[x, n], g) for g in known]
+                return [sum(e[i] for e in each) / len(each) * max(1, (len(w) + 2) / n) for i in range(len(langs))]
+        return [0.0] * len(langs)
+
+    out = []
+    for d, t, _ in rows:
+        ws = split(t or "")
+        if not ws or not langs:
+            out.append((d, "und", 0.0))
+            continue
+        each = [scores(w) for w in ws]
+        total = [math.log(sum(lang == x for _, lang in taught) / len(taught)) + sum(e[i] for e in each) for i, x in enumerate(langs)]
+        best = max(range(len(langs)), key=lambda i: (total[i], -i))
+        out.append((d, langs[best], 1 / sum(math.exp(x - total[best]) for x in total)))
+    return out
+
+
+STRANGE = [
+    (1, "the house is big", "w"), (2, "das haus ist groß", "_n"), (3, "la maison est grande", "a`b"), (4, "casa grande", ""), (21, "हिन्दी में लिखा", "hi"), (7, "the garden", "w"), (8, "der garten", "_n"), (9, None, "w"),
+    (10, "½ ² 1_2", None), (11, "हिन्दी लिखा", None), (12, "gartenhaus", None), (13, "maisonette", "n"), (None, "the casa", "zz"), (14, "xyzzy qq", None), (15, "", None), (16, "grande casa, la casa", "w.x"), (16, "house", "w"),
+]
+
+
+def test_languages_match_a_version_without_spark(spark):
+    df = spark.createDataFrame(STRANGE, "doc_id bigint, text string, lang string").withColumn("w", F.lit("clash")).withColumn("n", F.lit(0))
+    got = sorted(((r.doc_id, r.lang_pred, r.score) for r in langid.identify(df).collect()), key=repr)
+    want = sorted(plain_languages(STRANGE), key=repr)
+    assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want], atol=1e-9)
+    by = {d: lang for d, lang, _ in got}
+    assert by[10] == "und" and by[11] == "hi"
+
+
 # --- personal data ------------------------------------------------------------------------------
 
 MAIL = "Write to Anna.Smith+x@mail7.example.com or ANNA.SMITH+X@MAIL7.EXAMPLE.COM, call +1 (269) 555-3296 or 269-555-3296."
