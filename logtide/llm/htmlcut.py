@@ -5,13 +5,17 @@ tags, names, links and words gives the costs of calling it content or boilerplat
 capacities of its edges to the source and the sink. Blocks that stand side by side, and blocks under
 one parent, are joined by edges whose capacity is the cost of telling them apart. The minimum cut
 (Dinic's maximum flow) is the labelling of least total cost; the content side is the main text.
+
+What an element's name says counts for all below it, unless the element holds most of the page's text:
+such a one is the page's frame, however it is called. Elements that mean navigation, footers or asides
+and names of comments say so at any size. Reading a page takes time in proportion to its length.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,10 +29,12 @@ BLOCK = frozenset(
     figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre
     section summary table tbody td tfoot th thead tr ul caption""".split()
 )
-HIDDEN = frozenset("script style noscript template head title iframe object embed svg math canvas audio video map select option datalist button textarea".split())
+HIDDEN = frozenset("script style noscript template head title iframe object embed svg annotation annotation-xml canvas audio video map select option datalist button textarea".split())
 RAW = frozenset("script style title textarea noscript iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 AWAY = frozenset("nav header footer aside form menu dialog".split())
+#: Of these, the ones that may be the frame of a page.
+FRAMES = frozenset({"form", "header"})
 TOWARDS = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An open element of the left kind ends where one of the right kinds starts.
@@ -37,16 +43,21 @@ ENDS = {
     "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "option": frozenset({"option"}), "head": frozenset({"body"}),
 }
 BAD_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|footer|foot|header|masthead|comments?|comment-\w+|reply|replies|disqus|respond|"
-    r"share|sharing|social|related|recommend\w*|widget\w*|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search\w*|pag(?:er|ination)|tags?|meta|byline|copyright|legal|toolbar|skip)(?:$|[\s_-])",
+    r"(?:^|[_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|footer|foot|header|masthead|comments?|comment-\w+|reply|replies|disqus|respond|"
+    r"share|sharing|social|related|recommend\w*|widget\w*|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search\w*|pag(?:er|ination)|tags?|meta|byline|copyright|legal|toolbar|skip)(?:$|[_-])",
     re.I,
 )
-GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article|content|entry|post|story|body|text|main|page|hentry|blog)(?:$|[\s_-])", re.I)
-BOILER_TEXT = re.compile(r"©|\(c\)\s*\d{4}|all rights reserved|cookie|privacy policy|terms of (?:use|service)|subscribe|sign ?up|log ?in|advertisement|sponsored|share this|read more|click here|newsletter", re.I)
+COMMENT_NAME = re.compile(r"(?:^|[_-])(?:comments?|commentlist|disqus|respond|reply|replies)(?:$|[_-])", re.I)
+GOOD_NAME = re.compile(r"(?:^|[_-])(?:article|content|entry|post|story|body|text|main|page|hentry|blog)(?:$|[_-])", re.I)
+#: Names that tell of a page's layout or an article's subject, not of the element's role.
+LAYOUT_NAME = re.compile(r"^(?:has|no|with|without|is|not|hide|show|layout|tag|category|cat|type|format|status|theme|skin|single|page|col|row|lang)[_-]", re.I)
+BOILER_TEXT = re.compile(r"©|\(c\)\s*\d{4}|all rights reserved|(?:use|uses|using|accept|our|of) cookies|cookie (?:policy|settings|notice|consent|preferences)|privacy policy|terms of (?:use|service)|subscribe|sign ?up|log ?in|advertisement|sponsored|share this|read more|click here|newsletter", re.I)
 
 # Weights of the classifier, in nats towards content, and of the smoothness edges.
-WEIGHTS = {"bias": 0.4, "away": -6.0, "towards": 4.0, "bad_name": -9.0, "good_name": 1.0, "link": -3.0, "heading": 0.8, "paragraph": 1.2, "list": -0.6, "words": 0.5, "stop": 0.4, "boiler": -3.0}
-BESIDE, SIBLINGS = 0.6, 0.8
+WEIGHTS = {"bias": 0.4, "away": -5.0, "towards": 3.5, "bad_name": -6.0, "good_name": 1.0, "link": -3.0, "heading": 0.8, "paragraph": 1.2, "list": -0.6, "words": 0.5, "stop": 0.4, "boiler": -3.0}
+BESIDE, SIBLINGS = 0.9, 1.1
+#: Part of a page's text, and characters, that make an element its frame.
+MOST, LONG = 0.5, 200
 
 TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|/?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -62,6 +73,8 @@ class Node:
     bad: bool = False
     good: bool = False
     hidden: bool = False
+    comments: bool = False
+    fixed: bool = False  # says at any size that it is no content
 
 
 @dataclass
@@ -75,6 +88,8 @@ class Block:
 def blocks_of(page: str) -> tuple[list[Node], list[Block]]:
     """The elements of a page and its blocks of visible text in order."""
     nodes, stack, out = [Node("", -1)], [0], []
+    opened: Counter = Counter()  # open elements by name
+    inner = [0]  # where in the stack block elements are
     open_block: Block | None = None
     link, at = 0, 0
 
@@ -86,7 +101,7 @@ def blocks_of(page: str) -> tuple[list[Node], list[Block]]:
         if open_block is None:
             if not text.strip():
                 return
-            open_block = Block(next((i for i in reversed(stack) if nodes[i].name in BLOCK), 0))
+            open_block = Block(stack[inner[-1]])
             out.append(open_block)
         open_block.parts.append(text)
         if link:
@@ -98,7 +113,11 @@ def blocks_of(page: str) -> tuple[list[Node], list[Block]]:
 
     def pop() -> None:
         nonlocal link
-        link -= nodes[stack.pop()].name == "a"
+        name = nodes[stack.pop()].name
+        opened[name] -= 1
+        link -= name == "a"
+        if inner[-1] == len(stack):
+            inner.pop()
 
     n = len(page)
     while at < n:
@@ -121,7 +140,7 @@ def blocks_of(page: str) -> tuple[list[Node], list[Block]]:
         if page[lt + 1] == "/":
             if name in BLOCK:
                 close()
-            if any(nodes[i].name == name for i in stack[1:]):
+            if opened[name]:
                 while nodes[stack[-1]].name != name:
                     pop()
                 pop()
@@ -134,9 +153,8 @@ def blocks_of(page: str) -> tuple[list[Node], list[Block]]:
             while len(stack) > 1 and name in ENDS.get(nodes[stack[-1]].name, ()):
                 pop()
             # an open paragraph ends even below inline elements that were left open
-            inner = next((k for k in range(len(stack) - 1, 0, -1) if nodes[stack[k]].name in BLOCK), 0)
-            if inner and name in ENDS.get(nodes[stack[inner]].name, ()):
-                while len(stack) > inner:
+            if (k := inner[-1]) and name in ENDS.get(nodes[stack[k]].name, ()):
+                while len(stack) > k:
                     pop()
         if name in VOID:
             continue
@@ -144,12 +162,19 @@ def blocks_of(page: str) -> tuple[list[Node], list[Block]]:
         attributes = {a.lower(): (b or c or d or "") for a, b, c, d in ATTRIBUTE.findall(m[2])} if m[2] else {}
         label = " ".join(attributes.get(k, "") for k in ("class", "id", "role", "itemprop"))
         hidden = up.hidden or name in HIDDEN or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
-        bad = bool(label.strip() and BAD_NAME.search(label)) and name not in ("body", "html")
-        good = bool(label.strip() and GOOD_NAME.search(label))
-        in_article = up.towards
-        away = up.away or name == "nav" or (name in AWAY and not (name == "header" and in_article)) or attributes.get("role") in ("navigation", "banner", "contentinfo", "complementary", "search")
-        nodes.append(Node(name, stack[-1], away, in_article or name in TOWARDS or attributes.get("role") in ("main", "article"), up.bad or bad, up.good or good, hidden))
+        names = [x for x in label.split() if not LAYOUT_NAME.match(x)] if name not in ("body", "html") else []
+        role = attributes.get("role")
+        fixed = (name in AWAY and name not in FRAMES) or role in ("navigation", "banner", "contentinfo", "complementary", "search")
+        nodes.append(
+            Node(
+                name, stack[-1], fixed or name in FRAMES, name in TOWARDS or role in ("main", "article"), any(map(BAD_NAME.search, names)), any(map(GOOD_NAME.search, names)),
+                hidden, any(map(COMMENT_NAME.search, names)), fixed,
+            )
+        )
+        if name in BLOCK:
+            inner.append(len(stack))
         stack.append(len(nodes) - 1)
+        opened[name] += 1
         link += name == "a"
         if m[0].endswith("/>") and name not in BLOCK and name not in RAW:
             pop()
@@ -159,7 +184,29 @@ def blocks_of(page: str) -> tuple[list[Node], list[Block]]:
     for b in out:
         b.text = SPACE.sub(" ", "".join(b.parts)).strip()
         b.parts = []
-    return nodes, [b for b in out if b.text]
+    out = [b for b in out if b.text]
+    _inherit(nodes, out)
+    return nodes, out
+
+
+def _inherit(nodes: list[Node], blocks: list[Block]) -> None:
+    """Hands down what elements say to all below them, but for the frames of the page."""
+    own = [0] * len(nodes)
+    whole = [False] * len(nodes)  # has a page's or an article's own heading below
+    for b in blocks:
+        own[b.parent] += max(0, len(b.text) - b.linked)
+    for i in range(len(nodes) - 1, 0, -1):
+        whole[i] |= nodes[i].name in ("h1", "main")
+        own[nodes[i].parent] += own[i]
+        whole[nodes[i].parent] |= whole[i]
+    for i, node in enumerate(nodes[1:], 1):
+        up = nodes[node.parent]
+        frame = own[i] >= max(LONG, MOST * own[0]) and not node.fixed and (whole[i] or not node.comments)
+        header = node.name == "header" and not node.fixed and up.towards  # an article's own
+        node.away = up.away or (node.away and not frame and not header)
+        node.bad = up.bad or (node.bad and not frame)
+        node.towards |= up.towards
+        node.good |= up.good
 
 
 def content_cost(nodes: list[Node], block: Block) -> float:
@@ -233,19 +280,29 @@ class Flow:
         return [x >= 0 for x in level]
 
 
-def labels(nodes: list[Node], blocks: list[Block]) -> list[bool]:
-    """Which blocks are content: the minimum cut of costs and smoothness."""
-    n, flow = len(blocks), Flow(len(blocks) + 2)
+def graph(nodes: list[Node], blocks: list[Block]) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """The log odds of each block, and the smoothness edges (block, block, cost of telling them apart)."""
+    costs, edges = [content_cost(nodes, b) for b in blocks], []
     last: dict[int, int] = {}
     for i, b in enumerate(blocks):
-        cost = content_cost(nodes, b)
-        flow.edge(n, i, max(cost, 0.0)) if cost >= 0 else flow.edge(i, n + 1, -cost)
-        if i and (nodes[b.parent].away, nodes[b.parent].bad) == (nodes[blocks[i - 1].parent].away, nodes[blocks[i - 1].parent].bad):
-            flow.edge(i - 1, i, BESIDE, BESIDE)
-        up = nodes[b.parent].parent if nodes[b.parent].name not in ("div", "body", "section", "article", "td") else b.parent
+        node = nodes[b.parent]
+        if i and (node.away, node.bad) == (nodes[blocks[i - 1].parent].away, nodes[blocks[i - 1].parent].bad):
+            edges.append((i - 1, i, BESIDE))
+        up = node.parent if node.name not in ("div", "body", "section", "article", "td") else b.parent
         if up in last:
-            flow.edge(last[up], i, SIBLINGS, SIBLINGS)
+            edges.append((last[up], i, SIBLINGS))
         last[up] = i
+    return costs, edges
+
+
+def labels(nodes: list[Node], blocks: list[Block]) -> list[bool]:
+    """Which blocks are content: the minimum cut of costs and smoothness."""
+    n, flow = len(blocks), Flow(len(blocks) + 2)
+    costs, edges = graph(nodes, blocks)
+    for i, cost in enumerate(costs):
+        flow.edge(n, i, max(cost, 0.0)) if cost >= 0 else flow.edge(i, n + 1, -cost)
+    for a, b, apart in edges:
+        flow.edge(a, b, apart, apart)
     return flow.run(n, n + 1)[:n]
 
 

@@ -299,6 +299,56 @@ def test_main_text(page, want):
     assert htmlcut.main_text(page) == want
 
 
+ARTICLE = "\n".join(f"Paragraph {i}: {PARAGRAPH}" for i in range(5))
+BODY = "".join(f"<p>{x}</p>" for x in ARTICLE.split("\n"))
+AROUND = ("<nav><a href=/>Home</a> <a href=/a>About</a></nav>", f"<div class='comments'><p>Reader: {PARAGRAPH}</p></div><footer>&copy; 2024 Us</footer>")
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div class='layout has-sidebar'>{BODY}<div class=sidebar><p>Latest news are here</p></div></div>", f"<main class='content no-sidebar'>{BODY}</main>", f"<article class='post tag-news has-ads'>{BODY}</article>",
+        f"<div class='elementor-widget'>{BODY}</div>", f"<div class='left side'><article>{BODY}</article></div>", f"<form action=/><div>{BODY}</div><input name=q></form>", f"<form><main>{BODY}</main></form>",
+        f"<div class=widget-area><div class=page-notice>{BODY}</div></div>", f"<body class='single-post with-comments'><div id=page-modal>{BODY}</div>",
+    ],
+)
+def test_articles_in_frames_of_any_name(page):
+    assert htmlcut.main_text(page) == ARTICLE
+    assert htmlcut.main_text(AROUND[0] + page + AROUND[1]) == ARTICLE
+
+
+def test_words_that_only_look_like_boilerplate():
+    assert htmlcut.main_text("<div class='content'><p>Bake a cookie for ten minutes.</p><p>Let it cool down before you serve it.</p></div>") == "Bake a cookie for ten minutes.\nLet it cool down before you serve it."
+    assert htmlcut.main_text(f"<article><p>{PARAGRAPH}</p><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds here.</p></article>") == f"{PARAGRAPH}\nSo x=2 holds here."
+    many = "".join(f"<div class='comment'><p>{PARAGRAPH} {i}</p></div>" for i in range(20))
+    assert htmlcut.main_text(f"<article><h1>T</h1>{BODY}</article><section id=comments>{many}</section>") == "T\n" + ARTICLE
+    assert htmlcut.main_text("<nav><a>x</a></nav><footer><p>" + PARAGRAPH * 3 + "</p></footer>") == ""
+
+
+def test_pages_are_read_in_linear_time():
+    import time
+
+    n, began = 100_000, time.time()
+    for page in ("<div>" * n + "</p>" * n, "<b>" * n + "<p>x" * n, "<div>" * n + "</div>" * n + "</div>" * n, "<a>" * n + "</b>" * n + "x", "<li>" * n, "<table><tr><td>" * n, "<i>" * n + "<div>x</div>" * n):
+        htmlcut.main_text(page)
+    assert time.time() - began < 60
+
+
+def test_labelling_costs_least():
+    rng = np.random.default_rng(8)
+    parts = [f"<p>{PARAGRAPH}</p>", "<p>Short one</p>", "<li><a href=/>A link</a></li>", "<h2>Head</h2>", "<div class=ad>Buy this now.</div>", "<div>Loose text here</div>", "<p>Subscribe to our newsletter</p>", "<p>One of <a href=/>two halves</a> linked.</p>"]
+    kept = Counter()
+    for _ in range(150):
+        page = "<div>" + "".join(f"<div>{parts[i]}</div>" if rng.random() < 0.3 else parts[i] for i in rng.integers(0, len(parts), 7)) + "</div>"
+        nodes, blocks = htmlcut.blocks_of(page)
+        costs, edges = htmlcut.graph(nodes, blocks)
+        total = lambda s: sum(max(c, 0) if not x else max(-c, 0) for c, x in zip(costs, s)) + sum(w for i, j, w in edges if s[i] != s[j])  # noqa: B023, E731
+        got = htmlcut.labels(nodes, blocks)
+        assert math.isclose(total(got), min(total([bool(m >> i & 1) for i in range(len(blocks))]) for m in range(2 ** len(blocks))), abs_tol=1e-6)
+        kept.update(x != (c > 0) for x, c in zip(got, costs))
+    assert kept[True] > 20  # the edges decide for some blocks
+
+
 def test_minimum_cut_is_minimal():
     rng = np.random.default_rng(1)
     for _ in range(40):
