@@ -10,7 +10,9 @@ similarity (sum of smaller over sum of larger counts) of at least ``SIMILAR``.
 2. Each window and item gets a 64-bit SimHash. The fingerprints are cut into ``RADIUS + 1`` blocks; two
    that differ in at most ``RADIUS`` bits agree on a whole block, so a join on (size, block, value)
    finds every pair within the radius. Fingerprints of a similarity of 0.8 differ in 10 bits on
-   average, in more than 19 with a probability of 0.001.
+   average, in more than 19 with a probability of 0.001. At this radius a block is three or four bits
+   wide, so it narrows the items of a size little; what keeps the join small is that only windows of
+   step 1 take part, and each distinct fingerprint once, however many documents share a passage.
 3. The pairs left are compared exactly.
 """
 
@@ -74,6 +76,11 @@ def shared_count(a: str, b: str) -> Column:
     return F.when(plain, F.size(F.array_intersect(a, b))).otherwise(exact)
 
 
+def _row_key() -> Column:
+    """128 bits of a row's id and text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce("text", F.lit(""))).cast("binary")))
+
+
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if size_below(df, SMALL) else df
 
@@ -91,7 +98,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, similar: float = SIMILAR, id
     scratch = Scratch(docs.sparkSession, "decontam")
     items = scratch.save(items.withColumn("item_print", simhash("item_shingles")), "items")
     marks = _small(scratch.save(items.select(F.explode("item_shingles").alias("shingle"), "words").distinct(), "marks"))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", _row_key())
     short = [r[0] for r in items.filter(F.col("words") < K).select("words").distinct().collect()]  # at most four sizes
 
     marked = _marked(rows, marks, K)
@@ -113,11 +120,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, similar: float = SIMILAR, id
     cut = lambda w: F.struct(w["words"].alias("words"), w["start"].alias("start"), _window_shingles(w))
     window = texts.select("doc_id", "key", F.explode(F.transform("windows", cut)).alias("w"))
     window = window.select("doc_id", "key", "w.words", "w.start", F.col("w.shingles").alias("window_shingles")).withColumn("print", simhash("window_shingles"))
-    window = scratch.save(window, "prints").withColumn("block", F.explode(blocks("print")))
-    index = items.withColumn("item_block", F.explode(blocks("item_print"))).withColumnRenamed("words", "item_words")
+    window = scratch.save(window, "prints")
+    prints = window.select("words", "print").distinct().withColumn("block", F.explode(blocks("print")))
+    index = items.withColumn("item_block", F.explode(blocks("item_print"))).select("item_id", "item_print", "item_block", F.col("words").alias("item_words"))
     near = (F.col("words") == F.col("item_words")) & (F.col("block") == F.col("item_block")) & (F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-    pairs = window.join(_small(index), near)
-    pairs = pairs.groupBy("doc_id", "key", "words", "start", "item_id").agg(F.first("window_shingles").alias("a"), F.first("item_shingles").alias("b"))
+    close = scratch.save(prints.join(_small(index), near).select(F.col("words").alias("w"), F.col("print").alias("p"), "item_id").distinct(), "close")
+    pairs = window.join(_small(close), (F.col("words") == F.col("w")) & (F.col("print") == F.col("p"))).select("doc_id", "words", "start", "item_id", F.col("window_shingles").alias("a"))
+    pairs = pairs.join(_small(items.select(F.col("item_id").alias("i"), F.col("item_shingles").alias("b"), F.col("words").alias("iw"))), (F.col("item_id") == F.col("i")) & (F.col("words") == F.col("iw")))
     pairs = pairs.withColumn("both", shared_count("a", "b")).withColumn("similarity", F.col("both") / (F.size("a") + F.size("b") - F.col("both")))
     found = pairs.filter(F.col("similarity") >= similar).groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("before"), "words")).alias("best"))
     return found.select("doc_id", "item_id", (-F.col("best.before")).cast("bigint").alias("start_word"), F.col("best.words").cast("bigint").alias("n_words"), F.col("best.similarity").alias("similarity"))
