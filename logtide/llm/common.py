@@ -63,6 +63,18 @@ def size_below(df: DataFrame, limit: int) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+def with_row_ids(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", name: str = "_row") -> DataFrame:
+    """Adds a bigint that no two rows share, in the order of the ids: the id itself, where ids are distinct and not null.
+
+    Else the rows are written in order of their ids, nulls last, and numbered.
+    """
+    ids = docs.select(F.col(id_col).cast("bigint").alias("id"))
+    if not ids.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1 or id is null").limit(1).count():
+        return docs.withColumn(name, F.col(id_col).cast("bigint"))
+    order = F.col(id_col).asc_nulls_last()
+    return scratch.save(docs.repartitionByRange(order, F.rand(7)).sortWithinPartitions(order).withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 # --- words as numbers ---------------------------------------------------------------------------
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))

@@ -4,7 +4,8 @@ The mix gives each document a rate, the expected number of its copies. Among all
 the word target of every source and stay at or below ``MOST``, it takes those nearest to one in
 relative entropy. Their dual has one multiplier a source, and the rates are exponential tilts
 min(MOST, exp(multiplier * size / mean size)). Newton steps on the dual, safeguarded by a bracket,
-run over the distinct (source, size) classes of the whole table, each step one aggregation.
+run over the distinct (source, size) classes of the whole table, each step one aggregation; an error
+is raised if they don't settle.
 
 Rates become copies by class: the classes of a source are rounded from the largest size down, each
 step carrying what the last one left over, so a source misses its target by about the smallest
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch
+from .common import WORD, Scratch, with_row_ids
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 #: Members of a class that one task ranks.
@@ -74,8 +75,8 @@ def multipliers(classes: DataFrame, plan: DataFrame, scratch: Scratch, *, most:
         old, state = state, scratch.save(moved, "dual")
         scratch.drop(old)
         if not state.filter("not done").limit(1).count():
-            break
-    return state
+            return state
+    raise RuntimeError(f"the multipliers of some sources are not within {near} of their targets after {steps} steps")
 
 
 def _round(most: int):
@@ -150,9 +151,9 @@ def _dealt(rows: DataFrame, placed: DataFrame, plan: DataFrame, scratch: Scratch
 def with_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with their columns and size, source_size, target, taken and copies, which replace columns of these names.
 
-    Ids should be distinct: rows that share an id share the least of what the mix gives to them.
+    Ids may be null or repeat; every row gets what the mix gives to it.
     """
     added = ("size", "source_size", "target", "taken", "copies")
-    given = mix(docs).groupBy(F.col("doc_id").alias("_mixed_id")).agg(*(F.min(c).alias(c) for c in added))
-    docs = docs.drop(*added)
-    return docs.join(given, docs["doc_id"].eqNullSafe(given["_mixed_id"])).drop("_mixed_id")
+    docs = with_row_ids(docs.drop(*added), Scratch(docs.sparkSession, "mixing"))
+    given = mix(docs, id_col="_row").withColumnRenamed("doc_id", "_mixed_id")
+    return docs.join(given, docs["_row"] == given["_mixed_id"]).drop("_mixed_id", "_row")

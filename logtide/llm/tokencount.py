@@ -1,7 +1,8 @@
 """Token counts behind a digest cache.
 
-The cache is a Parquet table of (content digest, tokenizer digest, count) in a shared folder. A run
-joins the digests of its texts to it, encodes one text of each digest that is missing, and appends
+The cache is a Parquet table of (content digest, tokenizer digest, count) in a shared folder. Content is
+normalised first: where no token reaches across spaces and line ends, a run of them counts as one space
+and those at the ends don't count. A run joins the digests of its texts to the cache, encodes one text of each digest that is missing, and appends
 those counts, so a text is encoded once for a tokenizer however often it occurs or is asked for.
 """
 
@@ -50,6 +51,17 @@ def _load(path: str):
     return _LOADED[path]
 
 
+def _keeps_spaces(normalizer: dict | None) -> bool:
+    """Whether a normalizer is known to change nothing beside spaces and line ends, and to add none."""
+    if normalizer is None:
+        return True
+    if normalizer.get("type") == "Sequence":
+        return all(map(_keeps_spaces, normalizer.get("normalizers", [])))
+    if normalizer.get("type") == "Replace":  # of white space by a space
+        return normalizer.get("pattern") == {"Regex": r"\s+"} and normalizer.get("content") == " "
+    return normalizer.get("type") in ("NFC", "Lowercase")
+
+
 def _splits_at_spaces(path: str) -> bool:
     """Whether no token of this tokenizer can reach across a space or line end."""
     import json
@@ -57,6 +69,8 @@ def _splits_at_spaces(path: str) -> bool:
     if not path.endswith(".json"):
         return False
     made = json.loads(Path(path).read_text())
+    if not _keeps_spaces(made.get("normalizer")):
+        return False
     steps = (made.get("pre_tokenizer") or {}).get("pretokenizers", [])
     patterns = [s.get("pattern", {}).get("Regex", "") for s in steps if s.get("type") == "Split" and s.get("invert") and s.get("behavior") == "Removed"]
     flat = all(not (t["lstrip"] or t["rstrip"]) and " " not in t["content"] and "\n" not in t["content"] for t in made.get("added_tokens", []))
@@ -124,11 +138,16 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, *, limit
     """
     spark, version = docs.sparkSession, tokenizer_digest(tokenizer_path)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("digest", F.unhex(F.sha2("text", 256)))
-    wanted = rows.groupBy("digest").agg(F.first("text").alias("text"))
-    known = _cached(spark, cache_path, version)
-    if known is not None:
-        wanted = wanted.join(known, "digest", "left_anti")
+    if _splits_at_spaces(tokenizer_path):
+        normal = F.trim(F.regexp_replace("text", "[ \\n]+", " "))
+    else:
+        normal = F.col("text")
+    rows = rows.withColumn("normal", normal).withColumn("digest", F.unhex(F.sha2("normal", 256)))
+    known, texts = _cached(spark, cache_path, version), rows.select("digest", F.col("normal").alias("text"))
+    if known is not None:  # digests alone first, so that only texts of misses move
+        missing = rows.select("digest").distinct().join(known, "digest", "left_anti")
+        texts = texts.join(missing, "digest", "left_semi")
+    wanted = texts.groupBy("digest").agg(F.first("text").alias("text"))
     new = wanted.select("digest", "text").mapInArrow(_encode(tokenizer_path), "digest binary, n bigint")
     new.select("digest", F.lit(version).alias("tokenizer"), "n").write.mode("append").parquet(cache_path)
     sizes = rows.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), "digest")

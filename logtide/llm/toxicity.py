@@ -209,6 +209,13 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(xs), np.array(ys)
 
 
+def centred(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The isotonic fit with each step's value at the mean of its scores, so that it rises between steps too."""
+    fitted = np.interp(score, *isotonic(score, y))
+    values, step = np.unique(fitted, return_inverse=True)
+    return np.bincount(step, score) / np.bincount(step), values
+
+
 @dataclass
 class Model:
     lexicon: Lexicon
@@ -219,8 +226,7 @@ class Model:
         if self.trees is None or not len(x):
             return np.clip(x[:, 1] / 4, 0, 1)
         raw = self.trees.raw(x)
-        p = np.interp(raw, *self.points)
-        return np.clip(0.98 * p + 0.02 / (1 + np.exp(-raw)), 0, 1)  # the trees break ties of the steps
+        return np.clip(np.interp(raw, *self.points), 0, 1)
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,8 +247,8 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 8_000, max_terms: int = 50_000) -> Model:
-    """Learns from about ``sample_rows`` labelled documents chosen by a hash of their ids.
+def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 8_000) -> Model:
+    """Learns from about ``sample_rows`` labelled documents chosen by a hash of their ids; the lexicon has all their telling terms.
 
     ``docs`` has doc_id and text, ``labels`` has doc_id and toxic. Rows with a null id, text or label
     teach nothing. With labels of one kind only, the score is the capped count of fixed insults.
@@ -261,7 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 8_000, max_ter
     )
     pos = sum(F.col(f"n{f}1") for f in range(FOLDS))
     neg = sum(F.col(f"n{f}0") for f in range(FOLDS))
-    rows = counted.filter((pos >= 3) & (pos * 3 >= neg)).orderBy((pos - neg).desc(), "term").limit(max_terms).collect()
+    rows = counted.filter((pos >= 3) & (pos * 3 >= neg)).orderBy("term").collect()  # bounded by the sample
     size = {(r["fold"], r["toxic"]): r["n"] for r in sample.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
 
     def lexicon(without: int | None) -> Lexicon:
@@ -283,7 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 8_000, max_ter
         train = fold != f
         if (fold == f).any() and 0 < y[train].sum() < train.sum():
             held[fold == f] = boost(x[train], y[train]).raw(x[fold == f])
-    return Model(everything, boost(x, y), isotonic(held, y))
+    return Model(everything, boost(x, y), centred(held, y))
 
 
 def _features_of(lexicons: list[Lexicon]):
@@ -315,7 +321,7 @@ def score(docs: DataFrame, model: Model, *, threshold: float = 0.3) -> DataFrame
     equal scores. Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"), in_fold("doc_id", 4, 2).alias("held_out"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_terms and the trees
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample and the trees
     return rows.mapInArrow(_score(shared, threshold), "doc_id bigint, held_out boolean, score double, predicted int")
 
 

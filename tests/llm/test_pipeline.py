@@ -38,6 +38,30 @@ def test_run_is_its_stages(spark, sf_dir):
     assert sorted(map(repr, got.collect())) == sorted(map(repr, df.collect()))
 
 
+def test_rows_without_an_id_of_their_own(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(30)
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first().text
+    copy, other = " ".join(f"z{i}" for i in range(90)), " ".join(f"y{i}" for i in range(90))
+    rows = [(None, copy, "en", "s", 1), (None, copy, "en", "s", 1), (50_000, copy, "en", "s", 1), (50_000, copy, "en", "s", 1), (50_000, other, "en", "s", 1), (None, f"a {item} b", "en", "s", 1), (50_001, f"c {item} d", "en", "s", 1), (50_001, "a clean text of its own", "en", "s", 1)]
+    df = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    got = cp.drop_near_duplicates(spark, df, sf_dir).collect()
+    assert [(r.doc_id, r.text) for r in got if r.text in (copy, other)] in ([(50_000, copy), (50_000, other)], [(50_000, other), (50_000, copy)])
+    got = [(r.doc_id, r.text) for r in cp.drop_leaks(spark, df, sf_dir).collect()]
+    assert (50_001, rows[-1][1]) in got and not any(item in (t or "") for _, t in got) and got.count((None, copy)) == 2
+
+
+def test_mix_of_repeated_ids(spark):
+    from logtide.llm import mixing
+
+    rows = [(i % 40, " ".join(["w"] * (1 + i % 23)), "ab"[i % 3 > 0]) for i in range(200)] + [(None, "n " * 5, "a")] * 3
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mixing.with_copies(df).collect()
+    assert len(got) == len(rows) and sorted((r.doc_id or -1, r.text, r.source) for r in got) == sorted((d or -1, t, s) for d, t, s in rows)
+    for s in "ab":
+        mine = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 23 and {r.source_size for r in mine} == {sum(r.size for r in mine)}
+
+
 def test_empty_table(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in cp.STAGES:
