@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logtide.llm import decontam, mixing, neardup, surrogate, toxicity
-from logtide.llm.common import Scratch
+from logtide.llm.common import Scratch, with_row_ids
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -31,18 +31,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, model).select(*COLUMNS)
 
 
+def _without(docs: DataFrame, lost: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The rows whose _row is not among the ids of ``lost``."""
+    lost = scratch.save(lost.select(F.col("doc_id").alias("_lost")).distinct(), name)
+    return docs.join(lost, docs["_row"] == lost["_lost"], "left_anti").select(*COLUMNS)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each near-duplicate group."""
-    lost = neardup.near_duplicates(docs, percent=80).filter("not kept").select(F.col("doc_id").alias("_lost")).distinct()
-    lost = Scratch(spark, "pipeline").save(lost, "duplicates")
-    return docs.join(lost, docs.doc_id == lost["_lost"], "left_anti").select(*COLUMNS)
+    """Keeps the document with the smallest id of each near-duplicate group; rows without an id or with the same one count one by one, nulls last."""
+    scratch = Scratch(spark, "pipeline")
+    docs = with_row_ids(docs, scratch)
+    return _without(docs, neardup.near_duplicates(docs, id_col="_row", percent=80).filter("not kept"), scratch, "duplicates")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that leak no benchmark item."""
-    lost = decontam.leaks(docs, _read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_lost")).distinct()
-    lost = Scratch(spark, "pipeline").save(lost, "leaks")
-    return docs.join(lost, docs.doc_id == lost["_lost"], "left_anti").select(*COLUMNS)
+    """Keeps the documents that leak no benchmark item; each row is judged by its own text."""
+    scratch = Scratch(spark, "pipeline")
+    docs = with_row_ids(docs, scratch)
+    return _without(docs, decontam.leaks(docs, _read(spark, sf_dir, "benchmark"), id_col="_row"), scratch, "leaks")
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
