@@ -42,7 +42,7 @@ def user_of(principal: str | Column) -> Column:
 
 def compression(attributes: str | Column) -> Column:
     code = _col(attributes).bitwiseAND(M.COMPRESSION_MASK)
-    return F.element_at(F.array(*map(F.lit, ("none", "gzip", "snappy", "lz4", "zstd"))), (F.when(code < 5, code + 1)).cast("int"))
+    return F.get(F.array(*map(F.lit, ("none", "gzip", "snappy", "lz4", "zstd"))), code.cast("int"))  # null for codes that name none
 
 
 def has_bit(attributes: str | Column, bit: int) -> Column:

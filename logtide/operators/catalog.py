@@ -36,8 +36,8 @@ def auto_create(catalog: DataFrame, requested: DataFrame, *, broker_allows: bool
 
 def delete_topics(catalog: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Deletes by name or id: the catalog left, and a code for each request."""
-    names = catalog.select(F.col("topic").alias("_n"), F.col("topic_id").alias("_i"))
-    found = requests.join(names, (requests.topic == names["_n"]) | (requests.topic_id == names["_i"]), "left")
+    named, numbered = catalog.select(F.col("topic").alias("_a")), catalog.select(F.col("topic").alias("_b"), F.col("topic_id").alias("_i"))
+    found = requests.join(named, requests.topic == named["_a"], "left").join(numbered, requests.topic_id == numbered["_i"], "left").withColumn("_n", F.coalesce("_a", "_b"))
     codes = found.select("position", F.coalesce("topic", "_n").alias("topic"), F.when(F.col("_n").isNull(), F.lit(UNKNOWN_TOPIC)).otherwise(F.lit(0)).alias("error_code")).orderBy("position")
     return catalog.join(found.filter("_n is not null").select(F.col("_n").alias("topic")).distinct(), "topic", "left_anti"), codes
 

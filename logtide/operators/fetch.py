@@ -68,6 +68,18 @@ def fetch_status(requests: DataFrame, stage: DataFrame, topics: DataFrame | None
     return out.select(*KEY, "offset", code.alias("error_code"), end.cast("bigint").alias("high_watermark"), F.when(known, F.coalesce("log_start", F.lit(0))).otherwise(F.lit(-1)).cast("bigint").alias("log_start"))
 
 
+def ready(requests: DataFrame, found: DataFrame) -> DataFrame:
+    """Which reads (request, topic, partition, offset, min_bytes, max_wait_ms, waited_ms) are answered now.
+
+    A read waits until its topitions have ``min_bytes`` together, its time is up, or one of them failed.
+    ``found`` has request, bytes and error_code, a row or none for each topition of a read.
+    """
+    have = found.groupBy("request").agg(F.sum("bytes").alias("_b"), F.max(F.col("error_code") != 0).alias("_e"))
+    asked = requests.groupBy("request").agg(F.max("min_bytes").alias("min_bytes"), F.max("max_wait_ms").alias("max_wait_ms"), F.max("waited_ms").alias("waited_ms")).join(have, "request", "left")
+    enough = (F.coalesce("_b", F.lit(0)) >= F.col("min_bytes")) | (F.col("waited_ms") >= F.col("max_wait_ms")) | F.coalesce("_e", F.lit(False))
+    return asked.select("request", F.coalesce("_b", F.lit(0)).cast("bigint").alias("bytes"), enough.alias("ready"))
+
+
 def page(rows: DataFrame, limit: int, after: tuple[str, int] | None = None) -> DataFrame:
     """Keyset pagination over topitions."""
     if after is not None:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import model as M
 from ..functions.scalars import next_sequence
+from .log import assign_offsets
 
 KEY = ["producer_id", "topic", "partition"]
 ADMIT, DUPLICATE, OUT_OF_ORDER, FENCED = "admit", "duplicate", "out_of_order", "fenced"
@@ -93,9 +94,11 @@ def coordinates(entries: DataFrame) -> DataFrame:
 
 def init_producers(known: DataFrame, requests: DataFrame) -> DataFrame:
     """(position, producer_id, epoch) of new ids: without a transactional id a fresh one, with a known one the
-    same id and the next epoch. ``known`` has transactional_id, producer_id, epoch."""
+    same id and the next epoch. ``known`` has transactional_id, producer_id, epoch; positions are distinct."""
     top = known.agg(F.coalesce(F.max("producer_id"), F.lit(0)).alias("_top"))
     old = known.groupBy("transactional_id").agg(F.max(F.struct("producer_id", "epoch")).alias("_k")).filter("transactional_id is not null")
     rows = requests.join(old, "transactional_id", "left").crossJoin(F.broadcast(top))  # one row
-    fresh = F.sum(F.when(F.col("_k").isNull(), 1).otherwise(0)).over(Window.orderBy("position"))  # a request at a time comes in
+    new = assign_offsets(rows.filter("_k is null").select("position", F.lit(0).alias("_all")), ["position"], slot=F.expr("position div 10000"), key=["_all"])
+    rows = rows.join(new.select("position", (F.col("offset") + 1).alias("_fresh")), "position", "left")
+    fresh = F.col("_fresh")
     return rows.select("position", "transactional_id", F.coalesce("_k.producer_id", F.col("_top") + fresh).alias("producer_id"), F.coalesce(F.col("_k.epoch") + 1, F.lit(0)).cast("int").alias("epoch"))

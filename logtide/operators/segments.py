@@ -53,6 +53,12 @@ def merge_plan(segments: DataFrame, *, threshold: int = 256, keep_newest: int =
     return old.withColumn("bin", F.floor(before / target_bytes).cast("bigint")).select("prefix", "seq", "byte_len", "bin")
 
 
+def next_sequence(live: DataFrame, floors: DataFrame) -> DataFrame:
+    """(prefix, seq): the first sequence a writer may use; ``floors`` (prefix, seq) are the highest ever used, so names of segments that are gone are not used again."""
+    both = live.select("prefix", "seq").unionByName(floors.select("prefix", "seq"))
+    return both.groupBy("prefix").agg((F.max("seq") + 1).alias("seq"))
+
+
 def merged_entries(entries: DataFrame, plan: DataFrame) -> DataFrame:
     """Manifest rows of the merged segments: the winning slices of each topition with their producers' coordinates."""
     rows = entries.join(plan.select("prefix", "seq", "bin"), ["prefix", "seq"])

@@ -62,6 +62,16 @@ def add_partitions(txns: DataFrame, transactional_id: str, producer_id: int, epo
     return txns.unionByName(new.join(there, ["transactional_id", *KEY], "left_anti"))
 
 
+#: Where committed offsets are kept.
+OFFSETS_TOPIC, OFFSETS_PARTITIONS = "__consumer_offsets", 50
+
+
+def add_offsets(txns: DataFrame, groups: DataFrame, transactional_id: str, producer_id: int, epoch: int) -> DataFrame:
+    """The transaction table with the partitions that keep the offsets of ``groups`` (group), which join the transaction."""
+    kept = groups.select(F.lit(OFFSETS_TOPIC).alias("topic"), F.pmod(F.crc32("group"), F.lit(OFFSETS_PARTITIONS)).cast("int").alias("partition")).distinct()
+    return add_partitions(txns, transactional_id, producer_id, epoch, kept)
+
+
 def end_txn(txns: DataFrame, stage: DataFrame, transactional_id: str, producer_id: int, epoch: int, committed: bool) -> tuple[DataFrame, DataFrame]:
     """Ends a transaction: the new transaction table, and a control record for each of its topitions at their end."""
     mine = (F.col("transactional_id") == transactional_id) & (F.col("producer_id") == producer_id) & (F.col("producer_epoch") == epoch) & F.col("state").isin(*OPEN)

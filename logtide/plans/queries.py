@@ -609,3 +609,6 @@ def quota_describe(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
     own = c.filter("c_custkey % 2 = 0").select(F.col("c_name").alias("entity_user"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey") * F.lit(10.0)).alias("producer_byte_rate"), F.when(F.col("c_custkey") % 4 == 0, F.lit(7.5)).alias("consumer_byte_rate"))
     return access.describe_quotas(own, user="Customer#000000012")
+
+
+from . import protocol_queries as _more  # noqa: E402, F401  registers further queries
