@@ -268,3 +268,12 @@ def test_sweep_property(spark, data):
             want.append((seq,))
             covered = base + n
     assert rows(segments.overlap_winners(df), "seq") == sorted(want)
+
+
+def test_offsets_join_a_transaction(spark):
+    none = spark.createDataFrame([], "transactional_id string, producer_id bigint, producer_epoch smallint, state string, topic string, partition int, first_offset bigint, last_offset bigint")
+    once = txn.add_offsets(none, spark.createDataFrame([("g",), ("g",), ("h",)], "group string"), "tx", 4, 1)
+    twice = txn.add_offsets(once, spark.createDataFrame([("g",)], "group string"), "tx", 4, 1)
+    rows = twice.collect()
+    assert {r.topic for r in rows} == {txn.OFFSETS_TOPIC} and len(rows) == len({r.partition for r in rows}) <= 2
+    assert all(0 <= r.partition < txn.OFFSETS_PARTITIONS and (r.transactional_id, r.producer_id, r.producer_epoch, r.state) == ("tx", 4, 1, "BEGIN") for r in rows)
