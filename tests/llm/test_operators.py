@@ -603,12 +603,21 @@ def test_table_numbers_of_many_customers(d):
             k = np.arange(1, c + 1)
             p = exact[c, 1 : c + 1] + k * math.log(x)
             p = np.exp(p - p.max()) / np.exp(p - p.max()).sum()
-            q = pitmanyor.log_stirling_row(c, d, c) + k * math.log(x)
-            q = np.exp(q - q.max()) / np.exp(q - q.max()).sum()
-            assert abs(p - q).sum() < 1e-3
+            end = int(pitmanyor.NEAR * c)
+            curve = pitmanyor.stirling_curves(np.array([c]), np.array([end]), d)[0]
+            known = pitmanyor.log_stirling_on(curve, k[:end], end)
+            assert abs(known - known[0] - exact[c, 1 : end + 1] + exact[c, 1]).max() < 1e-6
             mean, dev = (p * k).sum(), math.sqrt((p * k**2).sum() - (p * k).sum() ** 2)
             got = pitmanyor.sample_tables(np.full(3000, c), np.full(3000, x), d, s, rng)
             assert abs(got.mean() - mean) < 5 * dev / math.sqrt(3000) + 1e-3
+    # beyond the table of the recurrence: many tables, nearly as many as customers, and both with more customers
+    for c, x in ((1000, 600.0), (400, 50_000.0), (6000, 3_000.0), (6000, 30_000.0)):
+        k = np.arange(1, c + 1)
+        p = pitmanyor._whole_rows(np.array([c]), d)[0] + k * math.log(x)
+        p = np.exp(p - p.max()) / np.exp(p - p.max()).sum()
+        mean, dev = (p * k).sum(), math.sqrt((p * k**2).sum() - (p * k).sum() ** 2)
+        got = pitmanyor.sample_tables(np.full(300, c), np.full(300, x), d, s, rng)
+        assert abs(got.mean() - mean) < 5 * dev / math.sqrt(300) + 1e-3 and abs(got.std() / dev - 1) < 0.25
     # as c grows, t - 1 tends to a Poisson number of mean x / d
     got = pitmanyor.sample_tables(np.full(3000, 10**9), np.full(3000, 5.0), 0.8, pitmanyor.log_stirling(0.8), rng)
     assert abs(got.mean() - 7.25) < 0.25
