@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import model as M
@@ -11,9 +11,20 @@ from .stage import KEY
 OK, OUT_OF_RANGE, UNKNOWN_TOPIC = 0, 1, 3
 
 
-def within_budget(rows: DataFrame, max_bytes: int, *, order: str = "offset", size: str = "bytes", key: list[str] | None = None) -> DataFrame:
-    """The rows of each topition up to a byte budget: at least one, and none that starts once it is spent."""
-    before = Window.partitionBy(*(KEY if key is None else key)).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+def within_budget(rows: DataFrame, max_bytes: int, *, order: str = "offset", size: str = "bytes", key: list[str] | None = None, slot: Column | None = None) -> DataFrame:
+    """The rows of each topition up to a byte budget: at least one, and none that starts once it is spent.
+
+    With ``slot``, a column that never decreases along the order (such as a run of offsets), bytes are summed
+    up a slot first, and only rows of the slots that the budget reaches are put in order.
+    """
+    key = KEY if key is None else key
+    before = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    if slot is not None:
+        rows = rows.withColumn("_slot", slot)
+        sums = rows.groupBy(*key, "_slot").agg(F.sum(size).alias("_sum"))
+        spent = F.coalesce(F.sum("_sum").over(Window.partitionBy(*key).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        reached = sums.withColumn("_spent", spent).filter(F.col("_spent") < max_bytes).select(*key, "_slot")
+        rows = rows.join(reached, [*key, "_slot"], "left_semi").drop("_slot")
     return rows.withColumn("_before", F.coalesce(F.sum(size).over(before), F.lit(0))).filter(F.col("_before") < max_bytes).drop("_before")
 
 

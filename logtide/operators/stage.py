@@ -68,9 +68,8 @@ def offset_for_time(records: DataFrame, requests: DataFrame, *, slot_ms: int = 3
 
 def offset_for_time_by_segment(segments: DataFrame, requests: DataFrame) -> DataFrame:
     """The base offset of the first segment that ends at or after a time; reads the manifest only."""
-    asked = requests.select(*KEY, F.col("timestamp_ms").alias("_asked"))
-    hits = segments.select(*KEY, "base_offset", "max_timestamp").join(asked, KEY).filter("max_timestamp >= _asked")
-    return hits.groupBy(*KEY, F.col("_asked").alias("timestamp_ms")).agg(F.min("base_offset").alias("found"))
+    ends = segments.select(*KEY, F.col("base_offset").alias("offset"), F.col("max_timestamp").alias("timestamp_ms"))
+    return offset_for_time(ends, requests).filter("found is not null")
 
 
 def table_growth(records: DataFrame) -> DataFrame:
@@ -80,7 +79,11 @@ def table_growth(records: DataFrame) -> DataFrame:
 
 def covering_entry(segments: DataFrame, requests: DataFrame) -> DataFrame:
     """Range join: the manifest entry that holds each requested offset, null where none does."""
-    r, s = requests.alias("r"), segments.alias("s")
-    inside = (F.col("r.topic") == F.col("s.topic")) & (F.col("r.partition") == F.col("s.partition")) & (F.col("s.base_offset") <= F.col("r.offset")) & (F.col("r.offset") < F.col("s.base_offset") + F.col("s.record_count"))
-    return r.join(s, inside, "left").select("r.topic", "r.partition", "r.offset", "s.segment", "s.base_offset", "s.record_count")
-
+    # An entry is put into the one or two blocks of 2^level offsets that it touches, where 2^level is its size rounded up;
+    # an offset asked for lies in one block of each level. So the join is on equal blocks, at any size of an entry.
+    entries = segments.select(*KEY, "segment", "base_offset", "record_count").withColumn("_last", F.col("base_offset") + F.col("record_count") - 1)
+    entries = entries.filter("record_count > 0").withColumn("_level", F.expr("length(bin(record_count - 1))"))
+    entries = entries.withColumn("_block", F.explode(F.expr("array_distinct(array(shiftright(base_offset, _level), shiftright(_last, _level)))")))
+    asked = requests.select(*KEY, "offset").distinct().withColumn("_level", F.explode(F.sequence(F.lit(1), F.lit(63)))).withColumn("_block", F.expr("shiftright(offset, _level)"))
+    hits = asked.join(entries, [*KEY, "_level", "_block"]).filter("base_offset <= offset and offset <= _last")
+    return requests.select(*KEY, "offset").join(hits.select(*KEY, "offset", "segment", "base_offset", "record_count"), [*KEY, "offset"], "left")

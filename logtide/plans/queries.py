@@ -171,7 +171,7 @@ def _committed(spark, sf_dir):
 SELECT topic, "partition", "offset", ts, key, value FROM r WHERE before < 16384""")
 def fetch_read_committed(spark, sf_dir):
     rows = _committed(spark, sf_dir).filter("offset >= 10")
-    return fetch.within_budget(rows, 16_384).select(*KEY, "offset", "ts", "key", "value")
+    return fetch.within_budget(rows, 16_384, slot=F.expr("offset div 256")).select(*KEY, "offset", "ts", "key", "value")
 
 
 @register(f"""WITH {{LOG}}, {LSO_SQL}, {COMMITTED_SQL} SELECT topic, "partition", "offset", txn_id FROM committed""")
