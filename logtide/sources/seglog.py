@@ -6,12 +6,15 @@
     df.write.format("seglog").mode("append").save(path)
 
 A task takes whole files: it reads a file's last 64 KiB for the footer and then only the regions that the
-filters leave. Options: ``mode`` (PERMISSIVE: a damaged region becomes a row with an error; FAILFAST),
-``startingOffsets`` for streams (earliest or latest), ``codec`` and ``maxFilesPerTrigger``.
+filters leave. Options of reads: ``mode`` (PERMISSIVE: a damaged region becomes a row with an error;
+FAILFAST); of streams: ``startingOffsets`` (earliest, latest, or JSON {topic: {partition: offset}}) and
+``startingTimestamp`` (milliseconds); of writes: ``codec``, ``recordsPerBatch`` and ``segmentBytes``.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import uuid
 from collections.abc import Iterator
@@ -23,6 +26,7 @@ from pyspark.sql.datasource import (
     DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage,
 )
 
+from .. import model as M
 from ..functions import codec
 from . import segment
 
@@ -32,6 +36,10 @@ SCHEMA = (
 )
 FIELDS = [c.strip().split(" ")[0] for c in re.split(r",(?![^<]*>)", SCHEMA)]
 NAME = re.compile(r"(?:(?P<prefix>.*)/)?(?P<seq>\d{20})\.seg$")
+#: Sequence numbers of a producer start again at 0 behind this many.
+SEQUENCES = 2**31
+#: What a row held by a writer costs beside its key, value and headers.
+ROW_BYTES = 200
 
 
 @dataclass
@@ -44,7 +52,7 @@ class Files(InputPartition):
 
 @dataclass
 class Written(WriterCommitMessage):
-    staged: tuple[tuple[str, str], ...]  # staged path, prefix
+    staged: tuple[tuple[str, str, int], ...]  # staged path, prefix, nonce
 
 
 def open_path(path: str) -> tuple[pafs.FileSystem, str]:
@@ -132,7 +140,7 @@ def rows_of(region: bytes, declared: int, topic: str | None, partition: int | No
             b = codec.decode(raw)
             first = b.base_offset if at is None else at
             for r in codec.records_of(b):
-                sequence = b.base_sequence + r.offset_delta if b.base_sequence >= 0 else -1
+                sequence = (b.base_sequence + r.offset_delta) % SEQUENCES if b.base_sequence >= 0 else -1
                 yield (topic, partition, first + r.offset_delta, b.base_timestamp + r.timestamp_delta, r.key, r.value, [{"key": k, "value": v} for k, v in r.headers], b.producer_id, b.producer_epoch, sequence, b.transactional, b.control, prefix, seq, None)
             at = first + b.last_offset_delta + 1
     except (codec.CorruptBatch, OSError, pa.ArrowException) as e:
@@ -177,83 +185,238 @@ class SegmentReader(_Reading, DataSourceReader):
 
 
 class SegmentStreamReader(_Reading, DataSourceStreamReader):
-    """New segments of each prefix by sequence; an offset is the last sequence of each."""
+    """New segments of each prefix by sequence; an offset is the last sequence of each.
+
+    A start by offset leaves out the records of the named topitions before it. A start by time begins at the
+    first segment of each prefix that holds a record at or after it, and reads everything from there on.
+    """
 
     def __init__(self, options: dict) -> None:
         super().__init__(options)
-        self.latest = options.get("startingOffsets", options.get("startingoffsets", "earliest")) == "latest"
+        start = options.get("startingOffsets", options.get("startingoffsets", "earliest"))
+        self.latest = start == "latest"
+        self.floors = {} if start in ("latest", "earliest") else {(t, int(p)): o for t, ps in json.loads(start).items() for p, o in ps.items()}
+        since = options.get("startingTimestamp", options.get("startingtimestamp"))
+        self.since = None if since is None else int(since)
+        self._seen: list = []
 
     def _now(self) -> dict:
         out: dict = {}
-        for _, prefix, seq, _ in listing(self.path):
+        self._seen = listing(self.path)
+        for _, prefix, seq, _ in self._seen:
             out[prefix] = max(seq, out.get(prefix, -1))
         return out
 
     def initialOffset(self) -> dict:
-        return self._now() if self.latest else {}
+        if self.latest:
+            return self._now()
+        if self.since is None:
+            return {}
+        fs, _ = open_path(self.path)
+        out: dict = {}
+        found = set()
+        for path, prefix, seq, size in listing(self.path):  # by prefix and sequence; a footer each, up to the first that counts
+            if prefix not in found:
+                try:
+                    footer = read_footer(fs, path, size)
+                except (codec.CorruptBatch, segment.UnknownVersion):
+                    footer = None  # the read shows what is wrong with it
+                if footer is None or any(e.max_timestamp >= self.since for e in footer.entries):
+                    found.add(prefix)
+                else:
+                    out[prefix] = seq
+        return out
 
     def latestOffset(self) -> dict:
         return self._now()
 
     def partitions(self, start: dict, end: dict) -> list[Files]:
-        new = [x for x in listing(self.path) if start.get(x[1], -1) < x[2] <= end.get(x[1], -1)]
+        if any(end[prefix] > max((x[2] for x in self._seen if x[1] == prefix), default=-1) for prefix in end):
+            self._now()  # after a restart
+        new = [x for x in self._seen if start.get(x[1], -1) < x[2] <= end.get(x[1], -1)]
         return dealt(new) or [Files(())]
 
+    def read(self, partition: Files) -> Iterator[tuple]:
+        for row in super().read(partition):
+            if row[2] is None or row[2] >= self.floors.get((row[0], row[1]), 0):
+                yield row
+
     def commit(self, end: dict) -> None:
-        pass
+        """Nothing to free: segments stay."""
+
+
+def create(fs: pafs.FileSystem, staged: str, target: str) -> bool:
+    """Gives a staged file its name unless the name is taken.
+
+    A local folder decides that in one step, by a hard link. Elsewhere a name that is seen is never
+    overwritten, but two commits in the same moment need a store whose moves refuse an existing target.
+    """
+    if isinstance(fs, pafs.LocalFileSystem):
+        try:
+            os.link(staged, target)
+        except FileExistsError:
+            return False
+        os.unlink(staged)
+        return True
+    if fs.get_file_info(target).type != pafs.FileType.NotFound:
+        return False
+    fs.move(staged, target)
+    return True
 
 
 class SegmentWriter(DataSourceWriter):
-    """Tasks stage one segment for each prefix they hold; the commit names them, one sequence after the other.
+    """Tasks stage segments; the commit names them, one sequence of a prefix after the other.
 
-    Rows need topic, partition, offset, timestamp_ms, key and value. Staged files of failed tasks are never
+    Rows need topic, partition, offset and timestamp_ms (null: -1); key, value, headers, producer_id,
+    producer_epoch, sequence, is_transactional and is_control are kept where they are given, other columns are
+    not. Reading gives the same rows, gaps between offsets included. Staged files of failed tasks are never
     seen by readers.
+
+    A task holds ``segmentBytes`` of rows at most and stages the largest prefix when they are full. Rows sorted
+    by topic, partition and offset within tasks make segments that don't overlap.
+
+    A name is only ever created. A commit that finds it taken takes the next one; one that is run again knows
+    by the nonce in the footer which segments are in place. The highest sequence of a prefix is kept under
+    ``_sequences``, so names of segments that are gone are not used again.
     """
 
     def __init__(self, options: dict, schema) -> None:
         self.path, self.codec = options["path"], options.get("codec", "zstd")
         self.most = int(options.get("recordsperbatch", options.get("recordsPerBatch", 500)))
+        self.room = int(options.get("segmentbytes", options.get("segmentBytes", 32 * 1024 * 1024)))
         self.names = schema.names
+        missing = {"topic", "partition", "offset", "timestamp_ms"} - set(self.names)
+        if missing:
+            raise ValueError(f"rows of a log need {', '.join(sorted(missing))}")
 
     def write(self, rows: Iterator) -> Written:
         fs, root = open_path(self.path)
-        groups: dict = {}
+        held: dict[str, list] = {}
+        sizes: dict[str, int] = {}
+        staged, size = [], 0
+        fs.create_dir(f"{root}/_staging", recursive=True)
         for row in rows:
-            groups.setdefault(".".join(row["topic"].split(".")[:3]), {}).setdefault((row["topic"], row["partition"]), []).append(row)
-        staged = []
-        for prefix, topitions in groups.items():
-            regions = []
-            for (topic, partition), some in sorted(topitions.items()):
-                some.sort(key=lambda r: r["offset"])
-                regions.append((topic, partition, [self._batch(some[i : i + self.most]) for i in range(0, len(some), self.most)]))
-            fs.create_dir(f"{root}/_staging", recursive=True)
-            path = f"{root}/_staging/{uuid.uuid4().hex}"
-            with fs.open_output_stream(path) as f:
-                f.write(segment.build(regions, nonce=uuid.uuid4().int & (2**64 - 1)))
-            staged.append((path, prefix))
+            if row["topic"] is None or row["partition"] is None or row["offset"] is None:
+                raise ValueError("a record without topic, partition or offset")
+            r = self._record(row)
+            prefix = ".".join(r[0].split(".")[:3])
+            held.setdefault(prefix, []).append(r)
+            cost = ROW_BYTES + len(r[4] or b"") + len(r[5] or b"") + sum(len(k or b"") + len(v or b"") for k, v in r[6])
+            sizes[prefix] = sizes.get(prefix, 0) + cost
+            size += cost
+            if size >= self.room:
+                full = max(sizes, key=sizes.__getitem__)
+                staged.append(self._stage(fs, root, full, held.pop(full)))
+                size -= sizes.pop(full)
+        staged += [self._stage(fs, root, prefix, held.pop(prefix)) for prefix in sorted(held)]
         return Written(tuple(staged))
 
-    def _batch(self, rows: list) -> codec.Batch:
-        base, when = rows[0]["offset"], rows[0]["timestamp_ms"]
-        records = [codec.Record(r["offset"] - base, r["timestamp_ms"] - when, r["key"], r["value"]) for r in rows]
-        return codec.build([codec.Record(x.offset_delta, x.timestamp_delta, None if x.key is None else bytes(x.key), None if x.value is None else bytes(x.value)) for x in records], base_offset=base, base_timestamp=when, codec=self.codec)
+    def _record(self, row) -> tuple:
+        def of(name: str, otherwise):
+            value = row[name] if name in self.names else None
+            return otherwise if value is None else value
+
+        plain = lambda x: None if x is None else bytes(x)
+        headers = [(plain(h["key"]), plain(h["value"])) for h in of("headers", [])]
+        bits = M.TRANSACTIONAL_BIT * bool(of("is_transactional", False)) | M.CONTROL_BIT * bool(of("is_control", False))
+        producer = (of("producer_id", -1), of("producer_epoch", -1), bits)
+        return row["topic"], row["partition"], row["offset"], of("timestamp_ms", -1), plain(of("key", None)), plain(of("value", None)), headers, producer, of("sequence", -1)
+
+    def _stage(self, fs: pafs.FileSystem, root: str, prefix: str, rows: list) -> tuple[str, str, int]:
+        rows.sort(key=lambda r: r[:3])
+        batches: list[list] = []
+        for r in rows:
+            if not batches or len(batches[-1]) == self.most or not self._continues(batches[-1], r):
+                batches.append([])
+            batches[-1].append(r)
+        regions: list = []
+        for i, some in enumerate(batches):
+            topic, partition, base = some[0][:3]
+            last = some[-1][2]
+            after = batches[i + 1][0] if i + 1 < len(batches) and batches[i + 1][0][:2] == some[0][:2] else None
+            gap = after is not None and after[2] > last + 1
+            # a plain batch spans the offsets up to the next one; a producer's keeps its own span, as sequences hang on it
+            if gap and some[0][7][0] < 0 and after[2] - base < 2**31:
+                last, gap = after[2] - 1, False
+            made = self._batch(some, last)
+            if regions and regions[-1][:2] == (topic, partition) and regions[-1][3] == base:
+                regions[-1][2].append(made)
+                regions[-1] = (*regions[-1][:3], last + 1)
+            else:  # behind a gap a topition gets another entry, which has a base of its own
+                regions.append((topic, partition, [made], last + 1))
+        nonce, path = uuid.uuid4().int & (2**64 - 1), f"{root}/_staging/{uuid.uuid4().hex}"
+        with fs.open_output_stream(path) as f:
+            f.write(segment.build([r[:3] for r in regions], nonce=nonce))
+        return path, prefix, nonce
+
+    @staticmethod
+    def _continues(batch: list, r: tuple) -> bool:
+        """Whether a record can join a batch: of its topition and producer, in its sequence, within its span."""
+        first, last = batch[0], batch[-1]
+        if r[:2] != first[:2] or r[7] != first[7] or r[2] <= last[2] or r[2] - first[2] >= 2**31 - 1:
+            return False
+        if (r[8] < 0) != (first[8] < 0):
+            return False
+        return r[8] < 0 or (first[8] + r[2] - first[2]) % SEQUENCES == r[8]
+
+    def _batch(self, rows: list, last: int) -> codec.Batch:
+        _, _, base, when, _, _, _, (producer, epoch, bits), sequence = rows[0]
+        records = [codec.Record(r[2] - base, r[3] - when, r[4], r[5], r[6]) for r in rows]
+        return codec.build(records, base_offset=base, base_timestamp=when, codec=self.codec, attributes=bits, span=last - base, producer_id=producer, producer_epoch=epoch, base_sequence=sequence)
 
     def commit(self, messages: list) -> None:
         fs, root = open_path(self.path)
-        last: dict = {}
-        for _, prefix, seq, _ in listing(self.path):
-            last[prefix] = max(seq, last.get(prefix, -1))
+        live: dict = {}
+        for path, prefix, seq, size in listing(self.path):
+            live.setdefault(prefix, []).append((path, seq, size))
+        todo: dict = {}
         for message in messages:
-            for staged, prefix in message.staged if message else ():
-                last[prefix] = last.get(prefix, -1) + 1
-                fs.create_dir(f"{root}/{prefix}", recursive=True)
-                fs.move(staged, f"{root}/{prefix}/{last[prefix]:020d}.seg")
+            for staged, prefix, nonce in message.staged if message else ():
+                todo.setdefault(prefix, []).append((staged, nonce))
+        for prefix, some in todo.items():
+            floor = highest_used(fs, root, prefix)
+            there = live.get(prefix, [])
+            waiting = {x.path for x in fs.get_file_info([staged for staged, _ in some]) if x.type != pafs.FileType.NotFound}
+            if len(waiting) < len(some):  # this commit ran before
+                placed = {f.nonce for f in (read_footer(fs, path, size) for path, _, size in there) if f}
+                lost = [staged for staged, nonce in some if staged not in waiting and nonce not in placed]
+                if lost:
+                    raise FileNotFoundError(f"neither staged nor in place: {lost}")
+            seq = max([floor, *(seq for _, seq, _ in there)], default=-1)
+            fs.create_dir(f"{root}/{prefix}", recursive=True)
+            for staged, _ in some:
+                if staged in waiting:
+                    seq += 1
+                    while not create(fs, staged, f"{root}/{prefix}/{seq:020d}.seg"):
+                        seq += 1
+            remember_used(fs, root, prefix, seq)
 
     def abort(self, messages: list) -> None:
         fs, _ = open_path(self.path)
         for message in messages:
-            for staged, _ in message.staged if message else ():
-                fs.delete_file(staged)
+            for staged, _, _ in message.staged if message else ():
+                if fs.get_file_info(staged).type != pafs.FileType.NotFound:
+                    fs.delete_file(staged)
+
+
+def _marks(fs: pafs.FileSystem, root: str, prefix: str) -> list[tuple[int, str]]:
+    found = fs.get_file_info(pafs.FileSelector(f"{root}/_sequences/{prefix}", allow_not_found=True))
+    return sorted((int(x.base_name), x.path) for x in found if x.is_file and x.base_name.isdigit())
+
+
+def highest_used(fs: pafs.FileSystem, root: str, prefix: str) -> int:
+    """The highest sequence that a prefix is known to have used, -1 if none."""
+    return max((seq for seq, _ in _marks(fs, root, prefix)), default=-1)
+
+
+def remember_used(fs: pafs.FileSystem, root: str, prefix: str, seq: int) -> None:
+    """Marks a sequence as used, then drops the lower marks."""
+    fs.create_dir(f"{root}/_sequences/{prefix}", recursive=True)
+    with fs.open_output_stream(f"{root}/_sequences/{prefix}/{seq:020d}"):
+        pass
+    for old, path in _marks(fs, root, prefix):
+        if old < seq:
+            fs.delete_file(path)
 
 
 class SegmentLog(DataSource):

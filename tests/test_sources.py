@@ -120,6 +120,108 @@ def test_stream_reads_new_segments_once(spark, tmp_path):
     assert run().count() == 120 and run().count() == 120
 
 
+FULL = "topic string, partition int, offset bigint, timestamp_ms bigint, key binary, value binary, headers array<struct<key: binary, value: binary>>, producer_id bigint, producer_epoch int, sequence int, is_transactional boolean, is_control boolean"
+
+
+def full(spark):
+    """Producers that take turns, gaps, a sequence that starts again, marks of transactions, headers, nulls, offsets beyond an int."""
+    rows, end = [], 2**31 - 1
+    for i in range(40):
+        producer = i // 10 % 2
+        rows.append(("o.e.a.x", 0, 3 * i if i > 20 else i, 5000 - i, None, b"v" * i, [(b"h", None), (b"", b"w")] * (i % 3), 7 + producer, 1, (end - 12 + i) % 2**31, i % 10 > 5, False))
+    rows.append(("o.e.a.x", 0, 1000, 1, b"\0\0\0\1", None, [], 7, 1, -1, True, True))
+    rows += [("o.e.a.x", 1, i * i, i, b"k", None, [], -1, -1, -1, False, False) for i in range(30)]
+    rows += [("o.e.b.x", 0, 2**31 * i + 5, -1, b"", b"", [], -1, -1, -1, False, False) for i in range(4)]
+    return spark.createDataFrame(rows, FULL)
+
+
+def everything(df):
+    plain = lambda x: None if x is None else bytes(x)
+    return sorted((r.topic, r.partition, r.offset, r.timestamp_ms, plain(r.key) or b"", r.key is None, plain(r.value) or b"", r.value is None, str([(plain(h.key), plain(h.value)) for h in r.headers]), r.producer_id, r.producer_epoch, r.sequence, r.is_transactional, r.is_control) for r in df.select(FIELDS).collect())
+
+
+FIELDS = ["topic", "partition", "offset", "timestamp_ms", "key", "value", "headers", "producer_id", "producer_epoch", "sequence", "is_transactional", "is_control"]
+
+
+@pytest.mark.parametrize("options", [{}, {"recordsPerBatch": "4", "codec": "none"}, {"segmentBytes": "2000"}])
+def test_nothing_is_lost_between_write_and_read(spark, tmp_path, options):
+    seglog.register(spark)
+    path, df = str(tmp_path / "log"), full(spark)
+    df.coalesce(1).write.format("seglog").options(**options).mode("append").save(path)
+    got = spark.read.format("seglog").load(path)
+    assert got.filter("error is not null").count() == 0 and everything(got) == everything(df)
+    again = str(tmp_path / "again")
+    got.coalesce(1).write.format("seglog").mode("append").save(again)
+    assert everything(spark.read.format("seglog").load(again)) == everything(df)
+    assert got.filter("topic = 'o.e.a.x' and partition = 1 and offset = 841").count() == 1
+    if "segmentBytes" in options:
+        assert len(seglog.listing(path)) > 5
+
+
+def writer(path, **options):
+    return seglog.SegmentWriter({"path": str(path), **options}, type("S", (), {"names": FIELDS[:6]}))
+
+
+def staged(path, n=1):
+    row = dict(topic="a.b.c.d", partition=0, offset=0, timestamp_ms=0, key=b"k", value=b"v")
+    return [writer(path).write(iter([row])) for _ in range(n)]
+
+
+def names(path):
+    return [s for _, _, s, _ in seglog.listing(str(path))]
+
+
+def test_a_commit_that_runs_again_adds_nothing(tmp_path):
+    messages = staged(tmp_path, 3)
+    writer(tmp_path).commit(messages)
+    writer(tmp_path).commit(messages)
+    assert names(tmp_path) == [0, 1, 2]
+    half = staged(tmp_path, 2)
+    writer(tmp_path).commit(half[:1])  # as if the first commit broke off
+    writer(tmp_path).commit(half)
+    assert names(tmp_path) == [0, 1, 2, 3, 4]
+    with pytest.raises(FileNotFoundError):
+        writer(tmp_path).commit([seglog.Written(((str(tmp_path / "_staging" / "none"), "a.b.c", 1),))])
+
+
+def test_writers_at_the_same_time_do_not_overwrite(tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    jobs = [staged(tmp_path, 5) for _ in range(6)]
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(lambda m: writer(tmp_path).commit(m), jobs))
+    assert len(names(tmp_path)) == len(set(names(tmp_path))) == 30
+    nonces = {n for m in jobs for w in m for _, _, n in w.staged}
+    fs, _ = seglog.open_path(str(tmp_path))
+    assert {seglog.read_footer(fs, p, size).nonce for p, _, _, size in seglog.listing(str(tmp_path))} == nonces
+
+
+def test_names_of_segments_that_are_gone_are_not_used_again(tmp_path):
+    import os
+
+    writer(tmp_path).commit(staged(tmp_path, 3))
+    for path, *_ in seglog.listing(str(tmp_path)):
+        os.unlink(path)
+    writer(tmp_path).commit(staged(tmp_path))
+    assert names(tmp_path) == [3]
+
+
+def test_streams_start_by_offset_or_time(spark, tmp_path):
+    seglog.register(spark)
+    path = str(tmp_path / "log")
+    for part in range(3):
+        spark.range(10).selectExpr("'a.b.c.d' topic", "cast(id % 2 as int) partition", f"id div 2 + {5 * part} offset", f"id + {100 * part} timestamp_ms", "cast('k' as binary) key", "cast('v' as binary) value").coalesce(1).write.format("seglog").mode("append").save(path)
+
+    def run(name, **options):
+        q = spark.readStream.format("seglog").options(**options).load(path).writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return sorted((r.partition, r.offset) for r in spark.table(name).collect())
+
+    assert run("by_offset", startingOffsets='{"a.b.c.d": {"0": 7}}') == [(0, o) for o in range(7, 15)] + [(1, o) for o in range(15)]
+    assert run("by_time", startingTimestamp="105") == [(p, o) for p in range(2) for o in range(5, 15)]
+    assert run("after_all", startingTimestamp="1000") == []
+
+
 def test_store_urls():
     s = stores.parse("s3://bucket/path?coalesce_bytes=4m&coalesce_linger=250ms&auto_create_topics=true")
     assert s.options == {"coalesce_bytes": 4 << 20, "coalesce_linger": 250, "auto_create_topics": True} and s.url == "s3a://bucket/path"
