@@ -277,3 +277,37 @@ def test_offsets_join_a_transaction(spark):
     rows = twice.collect()
     assert {r.topic for r in rows} == {txn.OFFSETS_TOPIC} and len(rows) == len({r.partition for r in rows}) <= 2
     assert all(0 <= r.partition < txn.OFFSETS_PARTITIONS and (r.transactional_id, r.producer_id, r.producer_epoch, r.state) == ("tx", 4, 1, "BEGIN") for r in rows)
+
+
+def test_the_entry_that_covers_an_offset(spark):
+    """Entries of any size, overlapping and empty ones, against all pairs."""
+    import random
+
+    from logtide.operators import stage
+
+    rng = random.Random(5)
+    entries = [("t", i % 2, i, rng.randrange(0, 5000), rng.choice([0, 1, 2, 3, 64, 100, 1000, 2**33])) for i in range(120)]
+    asked = [("t", p, o) for p in (0, 1, 2) for o in [0, 1, 4999, 2**32, 2**40, *(rng.randrange(0, 6000) for _ in range(40))]]
+    got = stage.covering_entry(
+        spark.createDataFrame(entries, "topic string, partition int, segment bigint, base_offset bigint, record_count bigint"),
+        spark.createDataFrame(asked, "topic string, partition int, offset bigint"),
+    ).collect()
+    want = []
+    for t, p, o in asked:
+        hits = [(t, p, o, s, b, n) for _, q, s, b, n in entries if p == q and b <= o < b + n]
+        want += hits or [(t, p, o, None, None, None)]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_a_budget_by_slots_is_the_budget(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from logtide.operators import fetch
+
+    rng = random.Random(6)
+    rows = spark.createDataFrame([("t", p, o, rng.choice([0, 1, 50, 400])) for p in range(3) for o in range(0, 900, p + 1)], "topic string, partition int, offset bigint, bytes bigint")
+    for most in (0, 1, 500, 20_000, 10**9):
+        plain, cut = fetch.within_budget(rows, most), fetch.within_budget(rows, most, slot=F.expr("offset div 64"))
+        assert sorted(plain.collect()) == sorted(cut.collect())

@@ -222,6 +222,38 @@ def test_streams_start_by_offset_or_time(spark, tmp_path):
     assert run("after_all", startingTimestamp="1000") == []
 
 
+def test_checksums_in_lanes_are_those_by_byte():
+    import random
+
+    from logtide.functions.scalars import crc32c_bytes
+
+    def by_bit(data):
+        crc = 0xFFFFFFFF
+        for b in data:
+            crc ^= b
+            for _ in range(8):
+                crc = (crc >> 1) ^ (0x82F63B78 if crc & 1 else 0)
+        return crc ^ 0xFFFFFFFF
+
+    rng = random.Random(3)
+    for n in (0, 1, 4095, 4096, 4097, 9001, 70_001):
+        data = rng.randbytes(n)
+        assert crc32c_bytes(data) == by_bit(data)
+
+
+def test_append_time_control_records_and_lz4_blocks():
+    b = codec.build(RECORDS, base_timestamp=5, codec="lz4")
+    assert (codec.log_append_time(b, 99).base_timestamp, b.max_timestamp) == (5, 45)
+    b = codec.build(RECORDS, base_timestamp=5, attributes=8)
+    assert (codec.log_append_time(b, 99).base_timestamp, b.max_timestamp) == (99, 99) and codec.produce_error(b) is None
+    for committed in (False, True):
+        r = codec.control_record(committed, 4)
+        assert struct.unpack(">hh", r.key) == (0, committed) and struct.unpack(">hi", r.value) == (0, 4)
+    frame = lambda flags: codec.Batch(attributes=3, data=b"\x04\x22\x4d\x18" + bytes([flags]) + b"\x40")
+    assert codec.dependent_lz4_blocks(frame(0x40)) and not codec.dependent_lz4_blocks(frame(0x60))
+    assert not codec.dependent_lz4_blocks(codec.build(RECORDS, codec="zstd"))
+
+
 def test_store_urls():
     s = stores.parse("s3://bucket/path?coalesce_bytes=4m&coalesce_linger=250ms&auto_create_topics=true")
     assert s.options == {"coalesce_bytes": 4 << 20, "coalesce_linger": 250, "auto_create_topics": True} and s.url == "s3a://bucket/path"
