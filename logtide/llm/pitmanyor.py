@@ -1,15 +1,18 @@
 """Scores of texts under a hierarchical Pitman-Yor language model.
 
-Every word is seated in the restaurant of its context, the word before it if that is one of the most
-frequent ones (``contexts``; a text's start and all other words have one each); all contexts share one parent restaurant, whose base is uniform over the vocabulary and
+Every word is seated in the restaurant of its context, the word before it or a text's start, whatever that
+word's frequency; all contexts share one parent restaurant, whose base is uniform over the vocabulary and
 one unseen word. Given how many customers a dish has, predictions depend on its number of tables only,
 so the sampler is a collapsed Gibbs sampler of table numbers: P(t) is proportional to S(c, t) x^t, with
 generalized Stirling numbers S and the mass x of a new table.
 
-All counts of a word, over all contexts, are one task's business, so a sweep is one pass over the table
-of (word, context, count), dealt out by word; the totals of the restaurants, one number a context, are
-summed between rounds. Probabilities are averaged over the last rounds. Scoring looks up the most
-frequent words in a table of bounded size; every other word of a text is joined to the table of words.
+A word seen once in a context has one table there, in every sample, so a round is one pass over the cells
+(word, context, count) of two customers and more, with the number of the others a word and a context. Cells
+are dealt out by word; those of the most frequent words (``contexts``), which may have any number of
+contexts, by word and context. What tasks must know of these words as contexts and as words is summed
+between rounds; the tables of all other contexts are summed by a shuffle of their cells. Probabilities are
+averaged over the last rounds. Scoring looks up frequent words after frequent contexts in a table of bounded
+size; other words are joined to the table of words, other contexts to the table of their cells.
 """
 
 from __future__ import annotations
@@ -21,17 +24,17 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, in_fold, mix, word_hashes
+from .common import Scratch, in_fold, word_hashes
 
-#: Frequent words that have a restaurant of their own, and words scored without a join.
-CONTEXTS, LOCAL = 1_023, 16_384
+#: Frequent words whose totals all tasks know, words scored without a join, and words with short codes.
+CONTEXTS, LOCAL, SHORT = 1_023, 16_384, 16_384
 #: Rounds of sampling, of which the last ones are averaged; sweeps of a task within a round.
 ROUNDS, KEPT, SWEEPS = 4, 2, 2
-#: (word, context) rows of a task.
-CELLS = 200_000
+#: Rows of a task; steps in which words are joined to the cells of contexts that are not frequent, so that fewer files are on disk at once.
+CELLS, STEPS = 200_000, 4
 THETA = 1.0
 END = np.int64(-7046029254386353131)
 EXACT = 64
@@ -48,21 +51,33 @@ def tokens_of(text: bytes | None) -> np.ndarray:
     return np.append(word_hashes(text).view(np.int64) if text else np.empty(0, np.int64), END)
 
 
-def numbered(texts: list[bytes | None], frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The sorted words of some texts and, per token, its word's number and its context; where each text starts.
+@dataclass
+class Codes:
+    """Numbers of words: 2 and up by rank for the most frequent ones, else negative, by the hash.
 
-    Contexts: 0 for a text's start, 1 for a rare word before it, 2 and up for the frequent ones (sorted hashes).
+    As contexts, a text's start is 0; 1 stands for no context.
     """
+
+    hashes: np.ndarray  # sorted
+    codes: np.ndarray
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        out = words | np.iinfo(np.int64).min
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
+            out = np.where(self.hashes[at] == words, self.codes[at], out)
+        return out
+
+
+def numbered(texts: list[bytes | None], codes: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The codes of the words of some texts, after a 0; per token, the places of its word's and its context's; where each text starts."""
     parts = [tokens_of(t) for t in texts]
     start = np.concatenate([[0], np.cumsum([len(x) for x in parts])[:-1]]).astype(np.int64)
     words, which = np.unique(np.concatenate(parts), return_inverse=True)
-    own = np.ones(len(words), np.int32)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, words), len(frequent) - 1)
-        own = np.where(frequent[at] == words, at + 2, 1).astype(np.int32)
-    u = np.concatenate([[0], own[which[:-1]]]).astype(np.int32)
-    u[start] = 0
-    return words, which, u, start
+    which += 1
+    before = np.concatenate([[0], which[:-1]])
+    before[start] = 0
+    return np.concatenate([[0], codes.of(words)]), which, before, start
 
 
 def _texts(column: pa.Array) -> Iterator[bytes | None]:
@@ -89,14 +104,13 @@ def _slices(texts: Iterator[bytes | None], size: int = 8_000_000) -> Iterator[li
         yield some
 
 
-def _count_cells(frequent: np.ndarray):
+def _count_cells(codes: Codes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in _slices(_texts(batch.column(0))):
-                words, which, u, _ = numbered(some, frequent)
-                code, n = _counted(which * (len(frequent) + 2) + u)
-                h, u = words[code // (len(frequent) + 2)], (code % (len(frequent) + 2)).astype(np.int32)
-                yield pa.record_batch([pa.array(h), pa.array(u), pa.array(n)], ["h", "u", "n"])
+                words, which, before, _ = numbered(some, codes)
+                cell, n = _counted(which * len(words) + before)
+                yield pa.record_batch([pa.array(words[cell // len(words)]), pa.array(words[cell % len(words)]), pa.array(n)], ["h", "g", "n"])
 
     return run
 
@@ -286,68 +300,78 @@ def sample_tables(c: np.ndarray, x: np.ndarray, discount: float, stirling: np.nd
 
 @dataclass
 class Totals:
-    """What all tasks must know of the restaurants: bounded by the number of contexts."""
+    """What all tasks must know of the restaurants: bounded by the number of frequent words."""
 
     d1: float
     d0: float
     tokens: int
     words: int
-    customers: np.ndarray  # of each context
-    tables: np.ndarray  # of each context
+    customers: np.ndarray  # of each frequent context, by code
+    tables: np.ndarray  # of each frequent context
     parent_tables: int
+    all_tables: int  # of all contexts, frequent or not
+    seats: np.ndarray  # tables of each frequent word, over all contexts
+    dishes: np.ndarray  # tables of each frequent word in the parent restaurant
 
     def base(self) -> float:
         return (THETA + self.d0 * self.parent_tables) / (self.words + 1)
 
     def parent(self, t, s):
         """Probability of a word in the parent restaurant."""
-        return (t - self.d0 * s + self.base()) / (THETA + self.tables.sum())
+        return (t - self.d0 * s + self.base()) / (THETA + self.all_tables)
 
     def share(self) -> np.ndarray:
-        """Of each context, what goes to the parent."""
+        """Of each frequent context, what goes to the parent."""
         return (THETA + self.d1 * self.tables) / (THETA + self.customers)
 
 
 def _sweep(now: Totals, seed: int, kept: list[str], names: list[str]):
     """Samples table numbers of the dishes of one part, given the totals; all rows of a word are in it, the first of them has its s.
 
-    ``names`` are the columns that keep the earlier samples, ``kept`` the ones they are read from.
+    Only those of a frequent word are spread over parts; its totals are the round's. A row of context 1 has as t the
+    number of a word's cells of one customer. ``m`` are the tables of a context that is not frequent. ``names`` are
+    the columns that keep the earlier samples, ``kept`` the ones they are read from.
     """
 
     def kernel(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["h", "u"], ignore_index=True)
+        group = group.sort_values(["h", "g"], ignore_index=True)
         rng = np.random.default_rng([seed, int(key[0])])
-        c, u, t, s = (group[k].to_numpy(np.int64) for k in ("c", "u", "t", "s"))
-        word = np.concatenate([[0], np.cumsum(group["h"].to_numpy()[1:] != group["h"].to_numpy()[:-1])]).astype(np.int64)
+        h, g, c, t, s, m = (group[k].to_numpy(np.int64) for k in ("h", "g", "c", "t", "s", "m"))
+        word = np.concatenate([[0], np.cumsum(h[1:] != h[:-1])]).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], np.diff(word) > 0]))
-        s = s[first]
+        hot = (h[first] >= 0) & (h[first] < len(now.seats))
+        known = np.where(hot, h[first], 0)
+        s = np.where(hot, 0, s[first])
         one, zero = log_stirling(now.d1), log_stirling(now.d0)
-        mass = THETA + now.d1 * now.tables
+        near = (g >= 0) & (g < len(now.tables))
+        mass = THETA + now.d1 * np.where(near, now.tables[np.where(near, g, 0)], m)
+        alone = g == 1
         curves: dict = {}  # of this task's dishes with many customers
         for _ in range(SWEEPS):
-            total = np.bincount(word, t).astype(np.int64)
-            p0 = np.maximum(now.parent(total, s), 1e-300)
-            t = sample_tables(c, mass[u] * p0[word], now.d1, one, rng, curves)
-            total = np.bincount(word, t).astype(np.int64)
-            s = sample_tables(total, np.full(len(total), now.base()), now.d0, zero, rng, curves)
+            total = np.where(hot, now.seats[known], np.bincount(word, t)).astype(np.int64)
+            p0 = np.maximum(now.parent(total, np.where(hot, now.dishes[known], s)), 1e-300)
+            t = np.where(alone, t, sample_tables(c, mass * p0[word], now.d1, one, rng, curves))
+            total = np.bincount(word, t).astype(np.int64)[~hot]
+            s[~hot] = sample_tables(total, np.full(len(total), now.base()), now.d0, zero, rng, curves)
         of_word = np.zeros(len(t), np.int64)
         of_word[first] = s
         old = {name: group[column] for name, column in zip(names, kept)}
-        return group[["part", "h", "u", "c"]].assign(t=t, s=of_word, **old)
+        return group[["part", "h", "g", "c", "k"]].assign(t=t, s=of_word, **old)
 
     return kernel
 
 
 @dataclass
 class Model:
-    frequent: np.ndarray  # sorted hashes of the context words
-    local: np.ndarray  # sorted hashes of the words scored without a join
+    codes: Codes
+    local: np.ndarray  # sorted codes of the words scored without a join
     local_counts: np.ndarray
-    cell_keys: np.ndarray  # sorted numbers of the seen cells (local word, context)
+    cell_keys: np.ndarray  # sorted numbers of the seen cells (local word, frequent context)
     cell_logs: np.ndarray  # their log10 probabilities
     parents: np.ndarray  # parent probabilities of the local words, a column a sample
     samples: list[Totals]
-    words: DataFrame  # h, c, p (parent probability a sample), u and own (contexts and probabilities of its cells) of the words
+    words: DataFrame  # h, c, p (parent probability a sample), u and own (frequent contexts and probabilities of its cells) of the words
+    cells: DataFrame  # h, g, c, t0 and up (tables a sample) of all seen cells whose context is not frequent
 
     @property
     def base_floor(self) -> float:
@@ -355,70 +379,136 @@ class Model:
 
 
 def fit(docs: DataFrame, scratch: Scratch, *, contexts: int = CONTEXTS, local: int = LOCAL, rounds: int = ROUNDS, seed: int = 11) -> Model | None:
-    """Counts all words of the text column of ``docs`` and samples the seating; None without a row."""
+    """Counts all words of the text column of ``docs`` and samples the seating; None without a row.
+
+    Every word is a context with a restaurant of its own. ``contexts`` and ``local`` only say how many words are
+    handled by totals that all tasks know, and by a table that they look words up in, rather than by shuffles.
+    """
     texts = docs.select("text")
-    counts = scratch.save(texts.mapInArrow(_count_words, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("c")), "words")
+    counts = scratch.save(texts.mapInArrow(_count_words, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("c")), "counts")
     tokens, words = counts.agg(F.sum("c"), F.count("*")).first()
     if not words:
         return None
-    top = counts.orderBy(F.desc("c"), "h").limit(max(local, contexts)).toPandas()
-    frequent = np.sort(top["h"].to_numpy()[:contexts])
-    chosen = top.iloc[:local].sort_values("h")
-    cells = texts.mapInArrow(_count_cells(frequent), "h bigint, u int, n bigint").groupBy("h", "u").agg(F.sum("n").alias("c"))
-    # a whole word goes to one part; parts grow in number with the table
-    parts = max(1, -(-words * 3 // CELLS))
-    state = scratch.save(cells.select(F.pmod(F.xxhash64("h"), F.lit(parts)).cast("int").alias("part"), "h", "u", "c", F.lit(1).cast("bigint").alias("t"), F.lit(1).cast("bigint").alias("s")), "seating")
-    one, two = state.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    w1, w2 = state.groupBy("h").agg(F.count("*").alias("k")).agg(F.count_if(F.col("k") == 1), F.count_if(F.col("k") == 2)).first()
+    top = counts.orderBy(F.desc("c"), "h").limit(max(local, contexts, SHORT)).toPandas()
+    scratch.drop(counts)
+    _free_shuffles(docs)
+    hashes = top["h"].to_numpy()[: max(contexts, SHORT)]
+    order = np.argsort(hashes)
+    codes = Codes(hashes[order], order + 2)
+    wide = min(contexts, len(top)) + 2
+    near, hot = F.col("g").between(0, wide - 1), F.col("h").between(0, wide - 1)
+    cells = scratch.save(texts.mapInArrow(_count_cells(codes), "h bigint, g bigint, n bigint").groupBy("h", "g").agg(F.sum("n").alias("c")), "cells", compression="zstd")
+    _free_shuffles(docs)
+    by_word = scratch.save(cells.groupBy("h").agg(F.count("*").alias("cells"), F.count_if(F.col("c") == 1).alias("k"), F.sum("c").alias("c")), "words")
+    one, two, many = cells.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2), F.count_if(F.col("c") > 1)).first()
+    w1, w2, rest, once = by_word.agg(F.count_if(F.col("cells") == 1), F.count_if(F.col("cells") == 2), F.count_if(~hot & (F.col("c") > 1) & (F.col("k") > 0)), F.count_if(~hot & (F.col("c") == 1))).first()
     discount = lambda a, b: float(min(0.95, max(0.1, a / (a + 2 * b) if a else 0.5)))
     d1, d0 = discount(one, two), discount(w1, w2)
+    # cells of one customer have one table: only their number is kept, of each word and of each context
+    customers, alone, alone_of, known = (np.zeros(wide, np.int64) for _ in range(4))
+    for row in cells.filter(near).groupBy("g").agg(F.sum("c").alias("c"), F.count_if(F.col("c") == 1).alias("k")).collect():  # a row a frequent context
+        customers[row["g"]], alone[row["g"]] = row["c"], row["k"]
+    for row in by_word.filter(hot).collect():  # a row a frequent word
+        known[row["h"]], alone_of[row["h"]] = row["c"], row["k"]
+    fixed = {"tokens": int(tokens), "words": int(words), "customers": customers, "alone": alone, "alone_of": alone_of, "one": one, "once": once}
+    nothing = F.lit(0).cast("bigint").alias("k")
+    first = [F.lit(1).cast("bigint").alias("t"), F.lit(1).cast("bigint").alias("s")]
+    several, lone = cells.filter("c > 1"), cells.filter(~near & (F.col("c") == 1)).groupBy("g").agg(F.count("*").alias("k"))
+    seats = (
+        several.filter(near).select("h", "g", "c", *first, nothing)
+        .union(several.filter(~near).join(lone.hint("shuffle_hash"), "g", "left").select("h", "g", "c", *first, F.coalesce("k", F.lit(0)).alias("k")))
+        .union(by_word.filter(~hot & (F.col("c") > 1) & (F.col("k") > 0)).select("h", F.lit(1).cast("bigint").alias("g"), F.lit(0).cast("bigint").alias("c"), F.col("k").alias("t"), first[1], nothing))
+    )
+    # a whole word goes to one part, but for the frequent ones; parts grow in number with the table
+    parts = max(1, -(-(many + rest) // CELLS))
+    part = F.pmod(F.when(hot, F.xxhash64("h", "g")).otherwise(F.xxhash64("h")), F.lit(parts)).cast("int").alias("part")
+    state = scratch.save(seats.select(part, "h", "g", "c", "t", "s", "k"), "seating")
     samples, names = [], []
-    now = _totals(state, d1, d0, int(tokens), int(words), len(frequent) + 2, int(words))
+    now = _totals(state, d1, d0, fixed, None, seed)
     for r in range(rounds):
         # from the first sample that counts on, a round carries the samples before its own
         j = r - max(0, rounds - KEPT)
         kept = [*names, "t", "s"] if j > 0 else []
         names = [*names, f"t{j}", f"s{j}"] if j > 0 else []
-        schema = ", ".join(["part int, h bigint, u int, c bigint, t bigint, s bigint", *(f"{k} bigint" for k in names)])
-        old, state = state, scratch.save(state.groupBy("part").applyInPandas(_sweep(now, seed + r, kept, names), schema), "seating")
+        schema = ", ".join(["part int, h bigint, g bigint, c bigint, k bigint, t bigint, s bigint", *(f"{k} bigint" for k in names)])
+        tables = F.col("k") + F.sum("t").over(Window.partitionBy("g"))
+        whole = state.filter(~near).withColumn("m", tables).union(state.filter(near).withColumn("m", F.lit(0).cast("bigint")))
+        old, state = state, scratch.save(whole.groupBy("part").applyInPandas(_sweep(now, seed + r, kept, names), schema), "seating")
         scratch.drop(old)
-        now = _totals(state, d1, d0, int(tokens), int(words), len(frequent) + 2)
+        _free_shuffles(docs)
+        now = _totals(state, d1, d0, fixed, now, seed + r)
         if j >= 0:
             samples.append(now)
-    joined = state.select("part", "h", "u", "c", F.array(*names[::2], "t").alias("t"), F.array(*names[1::2], "s").alias("s"))
-    table = scratch.save(joined.groupBy("part").applyInArrow(_predict(samples), "h bigint, c bigint, p array<double>, u array<int>, own array<double>"), "predictive")
-    scratch.drop(state, counts)
-    hashes = chosen["h"].to_numpy()
-    near = F.broadcast(docs.sparkSession.createDataFrame(chosen[["h"]].rename(columns={"h": "g"})))  # ``local`` rows at most
-    mine = table.join(near, F.col("h") == F.col("g"), "left_semi")
+    longs = lambda *values: F.array(*(F.lit(v).cast("bigint") if isinstance(v, int) else F.col(v) for v in values))
+    t, s, ones, zeros = longs(*names[::2], "t"), longs(*names[1::2], "s"), longs(*[1] * len(samples)), longs(*[0] * len(samples))
+    single, empty = cells.filter(F.col("c") == 1), [F.lit(1).cast("bigint").alias("g"), F.lit(0).cast("bigint").alias("c")]
+    joined = (
+        state.filter(near | ~hot).select("h", "g", "c", t.alias("t"), s.alias("s"))
+        .union(single.filter(near).select("h", "g", "c", ones, zeros))
+        .union(by_word.filter(~hot & (F.col("c") == 1)).select("h", *empty, ones, ones))
+        .union(by_word.filter(hot).select("h", *empty, zeros, zeros))
+    )
+    parts = max(1, -(-int(many + rest + words) // CELLS))
+    joined = joined.withColumn("part", F.pmod(F.xxhash64("h"), F.lit(parts)).cast("int"))
+    table = scratch.save(joined.groupBy("part").applyInArrow(_predict(samples, known), "h bigint, c bigint, p array<double>, u array<int>, own array<double>"), "predictive")
+    tables = [c.alias(f"t{j}") for j, c in enumerate([*map(F.col, names[::2]), F.col("t")])]
+    links = single.filter(~near).select("h", "g", "c", *(F.lit(1).cast("bigint").alias(f"t{j}") for j in range(len(samples)))).union(state.filter(~near).select("h", "g", "c", *tables))
+    links = scratch.save(links, "links", compression="zstd")
+    scratch.drop(by_word, cells, state)
+    _free_shuffles(docs)
+    mapped = codes.of(top["h"].to_numpy()[:local])
+    order = np.argsort(mapped)
+    here, here_counts = mapped[order], top["c"].to_numpy()[:local][order]
+    close = F.broadcast(docs.sparkSession.createDataFrame(pd.DataFrame({"w": here})))  # ``local`` rows at most
+    mine = table.join(close, F.col("h") == F.col("w"), "left_semi")
     found = mine.select("h", *(F.get("p", F.lit(j)).alias(f"p{j}") for j in range(len(samples)))).orderBy("h").toArrow()
     parents = np.stack([found.column(j + 1).to_numpy() for j in range(len(samples))], 1)
     own = mine.select("h", F.explode(F.arrays_zip("u", "own")).alias("x")).select("h", "x.u", "x.own").orderBy("h", "u").toArrow()  # a row a seen cell of a local word
-    keys = np.searchsorted(hashes, own.column(0).to_numpy()) * np.int64(len(frequent) + 2) + own.column(1).to_numpy()
-    return Model(frequent, hashes, chosen["c"].to_numpy(), keys, np.log10(own.column(2).to_numpy()), parents, samples, table)
+    keys = np.searchsorted(here, own.column(0).to_numpy()) * np.int64(wide) + own.column(1).to_numpy()
+    return Model(codes, here, here_counts, keys, np.log10(own.column(2).to_numpy()), parents, samples, table, links)
 
 
-def _totals(state: DataFrame, d1: float, d0: float, tokens: int, words: int, contexts: int, parent: int | None = None) -> Totals:
-    """Sums over the seating; ``parent`` is given where not only the first row of a word has its s."""
-    customers, tables, parents = np.zeros(contexts), np.zeros(contexts), 0
-    for row in state.groupBy("u").agg(F.sum("c").alias("c"), F.sum("t").alias("t"), F.sum("s").alias("s")).collect():  # a row a context
-        customers[row["u"]], tables[row["u"]] = row["c"], row["t"]
+def _totals(state: DataFrame, d1: float, d0: float, fixed: dict, before: Totals | None, seed: int) -> Totals:
+    """Sums over the seating, with the cells of one customer; samples the parent's tables of frequent words, one each at first."""
+    wide = len(fixed["customers"])
+    tables, seats, every, parents = fixed["alone"].copy(), fixed["alone_of"].copy(), fixed["one"], fixed["once"]
+    near, hot = F.col("g").between(0, wide - 1), F.col("h").between(0, wide - 1)
+    for row in state.groupBy(F.when(near, F.col("g")).alias("g")).agg(F.sum("t").alias("t"), F.sum("s").alias("s")).collect():  # a row a frequent context
         parents += row["s"]
-    return Totals(d1, d0, tokens, words, customers, tables, int(parents if parent is None else parent))
-
-
-def _predict(samples: list[Totals]):
+        if row["g"] != 1:
+            every += row["t"]
+            if row["g"] is not None:
+                tables[row["g"]] += row["t"]
+    for row in state.filter(hot).groupBy("h").agg(F.sum("t").alias("t")).collect():  # a row a frequent word
+        seats[row["h"]] += row["t"]
+    if before is None:
+        dishes, parents = np.minimum(seats, 1), fixed["words"]
+    else:
+        dishes = sample_tables(seats, np.full(wide, before.base()), d0, log_stirling(d0), np.random.default_rng([seed]))
+        parents += int(dishes.sum())
+    return Totals(d1, d0, fixed["tokens"], fixed["words"], fixed["customers"].astype(float), tables.astype(float), int(parents), int(every), seats, dishes)
+
+
+def _predict(samples: list[Totals], known: np.ndarray):
     def kernel(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("h", "ascending"), ("u", "ascending")]).combine_chunks()
-        h, u, c = (group.column(k).to_numpy() for k in ("h", "u", "c"))
+        group = group.sort_by([("h", "ascending"), ("g", "ascending")]).combine_chunks()
+        h, g, c = (group.column(k).to_numpy() for k in ("h", "g", "c"))
         t, s = (group.column(k).combine_chunks().flatten().to_numpy().reshape(-1, len(samples)) for k in ("t", "s"))
         word = np.concatenate([[0], np.cumsum(h[1:] != h[:-1])]).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], np.diff(word) > 0]))
-        p0 = np.stack([x.parent(np.bincount(word, t[:, j]), s[first, j]) for j, x in enumerate(samples)], 1)
+        hot = (h[first] >= 0) & (h[first] < len(known))
+        code = np.where(hot, h[first], 0)
+        counted = c != 1  # cells of one customer are counted by the word's row of context 1
+        total = lambda x: np.bincount(word, x * counted)
+        count = np.where(hot, known[code], total(np.where(g == 1, t[:, 0], c))).astype(np.int64)
+        p0 = np.stack([x.parent(np.where(hot, x.seats[code], total(t[:, j])), np.where(hot, x.dishes[code], np.bincount(word, s[:, j]))) for j, x in enumerate(samples)], 1)
+        listed = np.flatnonzero((g >= 0) & (g < len(known)) & (g != 1))
+        word, u, c, t = word[listed], g[listed], c[listed], t[listed]
         p = np.mean([(c - x.d1 * t[:, j] + (THETA + x.d1 * x.tables[u]) * p0[word, j]) / (THETA + x.customers[u]) for j, x in enumerate(samples)], 0)
-        lists = [pa.ListArray.from_arrays(pa.array(np.append(first, len(h)), pa.int32()), x) for x in (pa.array(u, pa.int32()), pa.array(p))]
+        end = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(first)))])
+        lists = [pa.ListArray.from_arrays(pa.array(end, pa.int32()), x) for x in (pa.array(u, pa.int32()), pa.array(p))]
         each = pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1) * len(samples), pa.int32()), pa.array(p0.ravel()))
-        return pa.table({"h": h[first], "c": np.bincount(word, c).astype(np.int64), "p": each, "u": lists[0], "own": lists[1]})
+        return pa.table({"h": h[first], "c": count, "p": each, "u": lists[0], "own": lists[1]})
 
     return kernel
 
@@ -427,31 +517,34 @@ def _predict(samples: list[Totals]):
 
 
 def _scored(model: dict, part: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch:
-    """A row a text with the sums over its local words, and a row each other word of it and context."""
-    words, which, u, start = numbered(texts, model["frequent"])
+    """A row a text (kind 0) with the sums over its local words, and a row each other word and context of it.
+
+    Local words after frequent contexts need no row. Kinds: 1 other words after these, 2 local words after others, 3 the rest.
+    """
+    words, which, before, start = numbered(texts, model["codes"])
     wide = model["share"].shape[1]
     at = np.minimum(np.searchsorted(model["local"], words), len(model["local"]) - 1)
-    hit = model["local"][at] == words
-    local = hit[which]
-    total = lambda x: np.add.reduceat(np.where(local, x, 0), start)
-    cells, back = np.unique(np.where(hit, at, 0)[which] * np.int64(wide) + u, return_inverse=True)
+    hit, near = model["local"][at] == words, (words >= 0) & (words < wide)
+    local, ready = hit[which], (hit[which] & near[before])
+    total = lambda x, of: np.add.reduceat(np.where(of, x, 0), start)
+    cells, back = np.unique(np.where(ready, at[which] * np.int64(wide) + words[before], 0), return_inverse=True)
     logs = _cell_logs(model, cells // wide, cells % wide)
     size = np.diff(np.append(start, len(which)))
     text = np.repeat(np.arange(len(texts)), size)
-    code, n = _counted(((text * np.int64(len(words)) + which) * wide + u)[~local])
+    code, n = _counted(((text * np.int64(len(words)) + which) * len(words) + before)[~ready])
     row = np.arange(part.num_rows)
-    rest = code // (wide * len(words))
+    rest, h, g = code // len(words) ** 2, code // len(words) % len(words), code % len(words)
     of = pa.array(np.concatenate([row, rest]))
     none = lambda values, kind: pa.concat_arrays([pa.array(values, kind), pa.nulls(len(rest), kind)])
-    zero = np.zeros(len(row), np.int64)
-    own = mix(part.column(0).to_numpy().view(np.uint64)).view(np.int64)  # any spread of the join's key will do, as n is 0
+    also = lambda values, kind: pa.concat_arrays([pa.nulls(len(row), kind), pa.array(values, kind)])
     return pa.record_batch(
         [
+            pa.array(np.concatenate([np.zeros(len(row), np.int32), np.where(near[g], 1, np.where(hit[h], 2, 3))]), pa.int32()),
             part.column(0).take(of), pa.concat_arrays([part.column(2), pa.nulls(len(rest), pa.int64())]), pa.concat_arrays([part.column(3), pa.nulls(len(rest), pa.bool_())]),
-            none(size, pa.int64()), none(total(1), pa.int64()), none(total(model["base"][at][which]), pa.float64()), none(total(logs[back]), pa.float64()),
-            pa.array(np.concatenate([own, words[code // wide % len(words)]])), pa.array(np.concatenate([zero, code % wide]), pa.int32()), pa.array(np.concatenate([zero, n])),
+            none(size, pa.int64()), none(total(1, local), pa.int64()), none(total(model["base"][at][which], local), pa.float64()), none(total(logs[back], ready), pa.float64()),
+            also(words[h], pa.int64()), also(words[g], pa.int64()), also(n, pa.int64()),
         ],
-        ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "h", "u", "n"],
+        ["kind", "row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "h", "g", "n"],
     )
 
 
@@ -478,25 +571,91 @@ def _score_texts(shared):
     return run
 
 
+def _score_cells(shared, floor: float, d1: float):
+    """Sums over the words of some contexts that are not frequent; a context's tokens and cells are all in one part."""
+
+    def kernel(tokens: pa.Table, cells: pa.Table) -> pa.Table:
+        model = shared.value
+        row, h, g, n = (tokens.column(k).to_numpy() for k in ("row", "h", "g", "n"))
+        parents = model["parents"]
+        p = np.stack([tokens.column(f"p{j}").to_numpy() for j in range(parents.shape[1])], 1)  # not a number for local words
+        here = np.isnan(p[:, 0])
+        p[here] = parents[np.searchsorted(model["local"], h[here])]
+        count = tokens.column("c").to_numpy()
+        ch, cg, c = (cells.column(k).to_numpy() for k in ("h", "g", "c"))
+        t = np.stack([cells.column(f"t{j}").to_numpy() for j in range(p.shape[1])], 1)
+        contexts, of = np.unique(cg, return_inverse=True)
+        words, word = np.unique(ch, return_inverse=True)
+        key = of * np.int64(len(words)) + word
+        order = np.argsort(key)
+        at, context = _found(contexts, g)
+        word_at, seen = _found(words, h)
+        cell, seen_cell = _found(key[order], at * np.int64(len(words)) + word_at)
+        seen = context & seen & seen_cell
+        cell = order[cell] if len(order) else cell
+        get = lambda values, i, ok: np.where(ok, values[i], 0) if len(values) else np.zeros(len(ok))
+        customers = get(np.bincount(of, c), at, context)
+        each = [get(c - d1 * t[:, j], cell, seen) + (THETA + d1 * get(np.bincount(of, t[:, j]), at, context)) * p[:, j] for j in range(p.shape[1])]
+        score = n * np.log10(np.mean(each, 0) / (THETA + customers))
+        base = np.where(here, 0.0, n * np.log10((np.where(here, 0, count) + 0.1) / floor))  # local words are in their text's row
+        known = np.where(here | (count == 0), 0, n)
+        rows, back = np.unique(row, return_inverse=True)
+        return pa.table({"row": rows, "known": np.bincount(back, known).astype(np.int64), "base": np.bincount(back, base), "score": np.bincount(back, score)})
+
+    return kernel
+
+
+def _found(values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of numbers among sorted ones, and whether they are there."""
+    if not len(values):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+    return at, values[at] == wanted
+
+
+def _free_shuffles(df: DataFrame) -> None:
+    """Spark removes the shuffle files of finished queries once the driver has collected their plans as garbage."""
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def score(docs: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
     """Per row of (doc_id, text, held_out): n_tokens, n_known, train_tokens, base_score, score."""
     floor, now = model.base_floor, model.samples
-    shared = docs.sparkSession.sparkContext.broadcast({"frequent": model.frequent, "local": model.local, "keys": model.cell_keys, "logs": model.cell_logs, "parents": model.parents, "share": np.array([x.share() for x in now]), "base": np.log10((model.local_counts + 0.1) / floor)})
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "text", "doc_id", "held_out")  # the order of a scan, so a task that runs again gives the same
-    rest = rows.mapInArrow(_score_texts(shared), "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, score double, h bigint, u int, n bigint")
+    shared = docs.sparkSession.sparkContext.broadcast({"codes": model.codes, "local": model.local, "keys": model.cell_keys, "logs": model.cell_logs, "parents": model.parents, "share": np.array([x.share() for x in now]), "base": np.log10((model.local_counts + 0.1) / floor)})
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "text", "doc_id", "held_out")
+    split = scratch.save(rows.mapInArrow(_score_texts(shared), "kind int, row bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, score double, h bigint, g bigint, n bigint"), "tokens", compression="zstd")
     words = model.words.select(F.col("h").alias("w"), "c", "p", F.col("u").alias("us"), "own")
-    joined = rest.join(words, F.col("h") == F.col("w"), "left")
-    shares = [F.array(*(F.lit(float(v)) for v in x.share())) for x in now]  # by context
-    each = [F.coalesce(F.get("p", F.lit(j)), F.lit(float(x.parent(0, 0)))) * F.get(shares[j], F.col("u")) for j, x in enumerate(now)]
-    parent = sum(each[1:], each[0]) / len(now)
-    own = F.get("own", F.array_position("us", F.col("u")).cast("int") - 1)  # null where the cell is not seen
     count = F.coalesce("c", F.lit(0))
-    sums = joined.groupBy("row").agg(
+    p = [F.coalesce(F.get("p", F.lit(j)), F.lit(float(x.parent(0, 0)))) for j, x in enumerate(now)]
+    # other words after frequent contexts: by word
+    shares = [F.array(*(F.lit(float(v)) for v in x.share())) for x in now]  # by context
+    each = [p[j] * F.get(shares[j], F.col("g").cast("int")) for j in range(len(now))]
+    own = F.get("own", F.array_position("us", F.col("g").cast("int")).cast("int") - 1)  # null where the cell is not seen
+    by_word = split.filter("kind = 1").select("row", "h", "g", "n").join(words.hint("shuffle_hash"), F.col("h") == F.col("w"), "left").select(
+        "row", F.when(count > 0, F.col("n")).otherwise(0).alias("known"), (F.col("n") * F.log10((count + 0.1) / floor)).alias("base"), (F.col("n") * F.log10(F.coalesce(own, sum(each[1:], each[0]) / len(now)))).alias("score")
+    )
+    each_row = lambda some: some.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("known", "base", "score")))
+    found = [scratch.save(each_row(by_word), "by-word")]
+    # words after all other contexts: by context, the words that are not local with their parent probabilities
+    parts = max(1, -(-now[0].tokens // CELLS))
+    part = F.pmod(F.xxhash64("g"), F.lit(parts)).cast("int").alias("part")
+    plain = model.words.select(F.col("h").alias("w"), "c", *(F.get("p", F.lit(j)).alias(f"p{j}") for j in range(len(now))))
+    for step in range(STEPS):
+        mine = lambda some: some.filter(F.pmod(F.xxhash64("g"), F.lit(parts)) % STEPS == step)  # noqa: B023, E731
+        there = mine(split.filter("kind = 3")).select("row", "h", "g", "n").join(plain.hint("shuffle_hash"), F.col("h") == F.col("w"), "left").select(part, "row", "h", "g", "n", count.alias("c"), *(F.coalesce(f"p{j}", F.lit(float(x.parent(0, 0)))).alias(f"p{j}") for j, x in enumerate(now)))
+        here = mine(split.filter("kind = 2")).select(part, "row", "h", "g", "n", F.lit(0).cast("bigint"), *(F.lit(float("nan")) for _ in now))
+        cells = mine(model.cells).select(part, "h", "g", "c", *(f"t{j}" for j in range(len(now))))
+        by_context = here.union(there).toDF(*there.columns).groupBy("part").cogroup(cells.groupBy("part")).applyInArrow(_score_cells(shared, floor, now[0].d1), "row bigint, known bigint, base double, score double")
+        _free_shuffles(docs)
+        found.append(scratch.save(each_row(by_context), "by-context"))
+    texts = split.filter("kind = 0").select("row", "known", "base", "score", "doc_id", "held_out", "n_tokens")
+    for some in found:
+        texts = texts.unionByName(some, allowMissingColumns=True)
+    sums = texts.groupBy("row").agg(
         *(F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")),
-        F.sum(F.coalesce("known", F.lit(0)) + F.when(count > 0, F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.coalesce("base", F.lit(0.0)) + F.col("n") * F.log10((count + 0.1) / floor)).alias("base_score"),
-        F.sum(F.coalesce("score", F.lit(0.0)) + F.col("n") * F.log10(F.coalesce(own, parent))).alias("score"),
-    )
+        F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"),
+    )
+    _free_shuffles(docs)
     # the order of a sum varies with the shuffle; its last digits are cut
     return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(now[0].tokens).cast("bigint").alias("train_tokens"), F.round("base_score", 8).alias("base_score"), F.round("score", 8).alias("score"))
 

@@ -632,6 +632,31 @@ def test_scores_of_odd_rows(odd, none):
     assert pitmanyor.score_all(none).count() == 0
 
 
+def test_every_preceding_word_is_a_context(spark):
+    from logtide.llm.common import Scratch
+
+    # 120 words that always have the same word after them, none much more frequent than the others
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(f"a{k} b{k}" for k in rng.integers(0, 120, 30))) for i in range(300)]
+    df = spark.createDataFrame([*rows, (1000, "a7 b7"), (1000, "a7 b8")], "doc_id bigint, text string")
+    held = {r.doc_id for r in df.select("doc_id", in_fold("doc_id", 10, 0).alias("x")).filter("x").collect()}
+    few, many = (pitmanyor.score_all(df, contexts=n, local=40).toPandas() for n in (2, 1_023))
+    for got in (few, many):
+        mean = lambda c: got[c][got.held_out].sum() / got.n_tokens[got.held_out].sum()  # noqa: B023, E731
+        assert mean("score") > mean("base_score") + 0.8
+        new = got[got.n_tokens == 3].score
+        assert len(new) == 2 and new.max() > new.min() + 1.5
+    assert abs(few.score.sum() / many.score.sum() - 1) < 0.01
+    # all cells are there, whichever way their context is handled, and the parent's probabilities sum to one
+    train = [t.split() for d, t in rows if d not in held]
+    m = pitmanyor.fit(spark.createDataFrame([(" ".join(t),) for t in train], "text string"), Scratch(spark, "test"), contexts=2, local=40)
+    pairs = Counter((x, y) for t in train for x, y in zip([None, *t], [*t, None]))
+    cells, words, customers = m.cells.toPandas(), m.words.toPandas(), m.samples[0].customers
+    assert cells.c.sum() + customers.sum() == m.samples[0].tokens == sum(pairs.values())
+    assert cells.g.nunique() == 240 - (customers[2:] > 0).sum() and len(cells) + sum(map(len, words.u)) == len(pairs)
+    assert len(words) == 241 and np.allclose(np.stack(words.p).sum(0) + [x.parent(0, 0) for x in m.samples], 1)
+
+
 # --- language -----------------------------------------------------------------------------------
 
 
