@@ -28,6 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def trim_heap(spark: SparkSession) -> None:
+    """Collects the driver's garbage once its heap has grown to half its limit.
+
+    Finished queries leave plans, events of tasks and broadcasts. The heap would grow to its limit over them, and
+    only a full collection gives memory back to the system.
+    """
+    runtime = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    if 2 * runtime.totalMemory() > runtime.maxMemory():
+        spark.sparkContext._jvm.System.gc()
+
+
 class Scratch:
     """Tables in the shared folder that cut lineage: a lost executor costs a re-read, not a re-run."""
 
@@ -42,6 +53,7 @@ class Scratch:
         df.write.options(**options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        trim_heap(self.spark)
         return out
 
     def drop(self, *tables: DataFrame) -> None:

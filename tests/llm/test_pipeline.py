@@ -81,3 +81,17 @@ def test_queries_match_sql(spark, sf_dir, name):
 
 def test_names():
     assert [n.split("_")[0] for n in q.QUERIES] == [f"op{i}" for i in range(1, 11)]
+
+
+def test_a_grown_driver_heap_is_collected(spark):
+    from logtide.llm.common import Scratch
+
+    jvm = spark.sparkContext._jvm
+    runtime = jvm.java.lang.Runtime.getRuntime()
+    whole = lambda: sum(b.getCollectionCount() for b in jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    held = []
+    while 2 * runtime.totalMemory() <= runtime.maxMemory():
+        held.append(jvm.java.nio.ByteBuffer.allocate(64_000_000))
+    before = whole()
+    Scratch(spark, "test").save(spark.range(10), "rows")
+    assert held and whole() > before
