@@ -17,6 +17,8 @@ size; other words are joined to the table of words, other contexts to the table
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -33,8 +35,10 @@ from .common import Scratch, in_fold, word_hashes
 CONTEXTS, LOCAL, SHORT = 1_023, 16_384, 16_384
 #: Rounds of sampling, of which the last ones are averaged; sweeps of a task within a round.
 ROUNDS, KEPT, SWEEPS = 4, 2, 2
-#: Rows of a task; steps in which words are joined to the cells of contexts that are not frequent, so that fewer files are on disk at once.
-CELLS, STEPS = 200_000, 4
+#: Rows of a task; steps in which words are joined, and those in which they are joined to the cells of contexts that are not frequent, so that fewer files are on disk at once.
+CELLS, BY_WORD, STEPS = 200_000, 3, 8
+#: Seconds that py4j gets to let go of dropped plans.
+PAUSE = 1.2
 THETA = 1.0
 END = np.int64(-7046029254386353131)
 EXACT = 64
@@ -391,14 +395,14 @@ def fit(docs: DataFrame, scratch: Scratch, *, contexts: int = CONTEXTS, local: i
         return None
     top = counts.orderBy(F.desc("c"), "h").limit(max(local, contexts, SHORT)).toPandas()
     scratch.drop(counts)
-    _free_shuffles(docs)
+    _free_shuffles(docs, tokens)
     hashes = top["h"].to_numpy()[: max(contexts, SHORT)]
     order = np.argsort(hashes)
     codes = Codes(hashes[order], order + 2)
     wide = min(contexts, len(top)) + 2
     near, hot = F.col("g").between(0, wide - 1), F.col("h").between(0, wide - 1)
     cells = scratch.save(texts.mapInArrow(_count_cells(codes), "h bigint, g bigint, n bigint").groupBy("h", "g").agg(F.sum("n").alias("c")), "cells", compression="zstd")
-    _free_shuffles(docs)
+    _free_shuffles(docs, tokens)
     by_word = scratch.save(cells.groupBy("h").agg(F.count("*").alias("cells"), F.count_if(F.col("c") == 1).alias("k"), F.sum("c").alias("c")), "words")
     one, two, many = cells.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2), F.count_if(F.col("c") > 1)).first()
     w1, w2, rest, once = by_word.agg(F.count_if(F.col("cells") == 1), F.count_if(F.col("cells") == 2), F.count_if(~hot & (F.col("c") > 1) & (F.col("k") > 0)), F.count_if(~hot & (F.col("c") == 1))).first()
@@ -419,10 +423,12 @@ def fit(docs: DataFrame, scratch: Scratch, *, contexts: int = CONTEXTS, local: i
         .union(several.filter(~near).join(lone.hint("shuffle_hash"), "g", "left").select("h", "g", "c", *first, F.coalesce("k", F.lit(0)).alias("k")))
         .union(by_word.filter(~hot & (F.col("c") > 1) & (F.col("k") > 0)).select("h", F.lit(1).cast("bigint").alias("g"), F.lit(0).cast("bigint").alias("c"), F.col("k").alias("t"), first[1], nothing))
     )
+    _free_shuffles(docs, tokens)
     # a whole word goes to one part, but for the frequent ones; parts grow in number with the table
     parts = max(1, -(-(many + rest) // CELLS))
     part = F.pmod(F.when(hot, F.xxhash64("h", "g")).otherwise(F.xxhash64("h")), F.lit(parts)).cast("int").alias("part")
     state = scratch.save(seats.select(part, "h", "g", "c", "t", "s", "k"), "seating")
+    _free_shuffles(docs, tokens)
     samples, names = [], []
     now = _totals(state, d1, d0, fixed, None, seed)
     for r in range(rounds):
@@ -435,7 +441,7 @@ def fit(docs: DataFrame, scratch: Scratch, *, contexts: int = CONTEXTS, local: i
         whole = state.filter(~near).withColumn("m", tables).union(state.filter(near).withColumn("m", F.lit(0).cast("bigint")))
         old, state = state, scratch.save(whole.groupBy("part").applyInPandas(_sweep(now, seed + r, kept, names), schema), "seating")
         scratch.drop(old)
-        _free_shuffles(docs)
+        _free_shuffles(docs, tokens)
         now = _totals(state, d1, d0, fixed, now, seed + r)
         if j >= 0:
             samples.append(now)
@@ -450,12 +456,13 @@ def fit(docs: DataFrame, scratch: Scratch, *, contexts: int = CONTEXTS, local: i
     )
     parts = max(1, -(-int(many + rest + words) // CELLS))
     joined = joined.withColumn("part", F.pmod(F.xxhash64("h"), F.lit(parts)).cast("int"))
-    table = scratch.save(joined.groupBy("part").applyInArrow(_predict(samples, known), "h bigint, c bigint, p array<double>, u array<int>, own array<double>"), "predictive")
+    table = scratch.save(joined.groupBy("part").applyInArrow(_predict(samples, known), "h bigint, c bigint, p array<double>, u array<int>, own array<double>"), "predictive", compression="zstd")
+    _free_shuffles(docs, tokens)
     tables = [c.alias(f"t{j}") for j, c in enumerate([*map(F.col, names[::2]), F.col("t")])]
     links = single.filter(~near).select("h", "g", "c", *(F.lit(1).cast("bigint").alias(f"t{j}") for j in range(len(samples)))).union(state.filter(~near).select("h", "g", "c", *tables))
     links = scratch.save(links, "links", compression="zstd")
     scratch.drop(by_word, cells, state)
-    _free_shuffles(docs)
+    _free_shuffles(docs, tokens)
     mapped = codes.of(top["h"].to_numpy()[:local])
     order = np.argsort(mapped)
     here, here_counts = mapped[order], top["c"].to_numpy()[:local][order]
@@ -613,9 +620,18 @@ def _found(values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at, values[at] == wanted
 
 
-def _free_shuffles(df: DataFrame) -> None:
-    """Spark removes the shuffle files of finished queries once the driver has collected their plans as garbage."""
+def _free_shuffles(df: DataFrame, tokens: int) -> None:
+    """Spark removes the shuffle files of finished queries once the driver has collected their plans as garbage.
+
+    A plan may hang on a cycle of Python's, and py4j takes up to a second to let go of what Python has dropped; small
+    tables don't wait for it.
+    """
+    gc.collect()
+    if tokens > CELLS:
+        time.sleep(PAUSE)
     df.sparkSession.sparkContext._jvm.System.gc()
+    if tokens > CELLS:
+        time.sleep(PAUSE / 4)  # another thread removes the files
 
 
 def score(docs: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
@@ -631,22 +647,27 @@ def score(docs: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
     shares = [F.array(*(F.lit(float(v)) for v in x.share())) for x in now]  # by context
     each = [p[j] * F.get(shares[j], F.col("g").cast("int")) for j in range(len(now))]
     own = F.get("own", F.array_position("us", F.col("g").cast("int")).cast("int") - 1)  # null where the cell is not seen
-    by_word = split.filter("kind = 1").select("row", "h", "g", "n").join(words.hint("shuffle_hash"), F.col("h") == F.col("w"), "left").select(
-        "row", F.when(count > 0, F.col("n")).otherwise(0).alias("known"), (F.col("n") * F.log10((count + 0.1) / floor)).alias("base"), (F.col("n") * F.log10(F.coalesce(own, sum(each[1:], each[0]) / len(now)))).alias("score")
-    )
     each_row = lambda some: some.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("known", "base", "score")))
-    found = [scratch.save(each_row(by_word), "by-word")]
-    # words after all other contexts: by context, the words that are not local with their parent probabilities
     parts = max(1, -(-now[0].tokens // CELLS))
+    found, steps = [], min(BY_WORD, parts)
+    for step in range(steps):
+        mine = lambda some, h: some.filter(F.pmod(F.xxhash64(h), F.lit(steps)) == step)  # noqa: B023, E731
+        by_word = mine(split.filter("kind = 1"), "h").select("row", "h", "g", "n").join(mine(words, "w").hint("shuffle_hash"), F.col("h") == F.col("w"), "left").select(
+            "row", F.when(count > 0, F.col("n")).otherwise(0).alias("known"), (F.col("n") * F.log10((count + 0.1) / floor)).alias("base"), (F.col("n") * F.log10(F.coalesce(own, sum(each[1:], each[0]) / len(now)))).alias("score")
+        )
+        _free_shuffles(docs, now[0].tokens)
+        found.append(scratch.save(each_row(by_word), "by-word"))
+    # words after all other contexts: by context, the words that are not local with their parent probabilities
     part = F.pmod(F.xxhash64("g"), F.lit(parts)).cast("int").alias("part")
     plain = model.words.select(F.col("h").alias("w"), "c", *(F.get("p", F.lit(j)).alias(f"p{j}") for j in range(len(now))))
-    for step in range(STEPS):
-        mine = lambda some: some.filter(F.pmod(F.xxhash64("g"), F.lit(parts)) % STEPS == step)  # noqa: B023, E731
+    steps = min(STEPS, parts)
+    for step in range(steps):
+        mine = lambda some: some.filter(F.pmod(F.xxhash64("g"), F.lit(parts)) % steps == step)  # noqa: B023, E731
         there = mine(split.filter("kind = 3")).select("row", "h", "g", "n").join(plain.hint("shuffle_hash"), F.col("h") == F.col("w"), "left").select(part, "row", "h", "g", "n", count.alias("c"), *(F.coalesce(f"p{j}", F.lit(float(x.parent(0, 0)))).alias(f"p{j}") for j, x in enumerate(now)))
         here = mine(split.filter("kind = 2")).select(part, "row", "h", "g", "n", F.lit(0).cast("bigint"), *(F.lit(float("nan")) for _ in now))
         cells = mine(model.cells).select(part, "h", "g", "c", *(f"t{j}" for j in range(len(now))))
         by_context = here.union(there).toDF(*there.columns).groupBy("part").cogroup(cells.groupBy("part")).applyInArrow(_score_cells(shared, floor, now[0].d1), "row bigint, known bigint, base double, score double")
-        _free_shuffles(docs)
+        _free_shuffles(docs, now[0].tokens)
         found.append(scratch.save(each_row(by_context), "by-context"))
     texts = split.filter("kind = 0").select("row", "known", "base", "score", "doc_id", "held_out", "n_tokens")
     for some in found:
@@ -655,7 +676,7 @@ def score(docs: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
         *(F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")),
         F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"),
     )
-    _free_shuffles(docs)
+    _free_shuffles(docs, now[0].tokens)
     # the order of a sum varies with the shuffle; its last digits are cut
     return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(now[0].tokens).cast("bigint").alias("train_tokens"), F.round("base_score", 8).alias("base_score"), F.round("score", 8).alias("score"))
 

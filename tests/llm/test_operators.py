@@ -657,6 +657,20 @@ def test_every_preceding_word_is_a_context(spark):
     assert len(words) == 241 and np.allclose(np.stack(words.p).sum(0) + [x.parent(0, 0) for x in m.samples], 1)
 
 
+def test_shuffles_of_dropped_plans_are_removed(spark):
+    files = lambda: {x.split("/")[-1] for x in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").split() if "/shuffle_" in x}
+    old = files()
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    assert len(df.collect()) == 7
+    made = files() - old
+    assert made
+    ring = [df]
+    ring.append(ring)  # only Python's collector finds that nothing reads it any more
+    del df, ring
+    pitmanyor._free_shuffles(spark.range(1), pitmanyor.CELLS + 1)
+    assert not made & files()
+
+
 # --- language -----------------------------------------------------------------------------------
 
 
