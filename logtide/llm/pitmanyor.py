@@ -6,13 +6,13 @@ one unseen word. Given how many customers a dish has, predictions depend on its
 so the sampler is a collapsed Gibbs sampler of table numbers: P(t) is proportional to S(c, t) x^t, with
 generalized Stirling numbers S and the mass x of a new table.
 
-A word seen once in a context has one table there, in every sample, so a round is one pass over the cells
-(word, context, count) of two customers and more, with the number of the others a word and a context. Cells
-are dealt out by word; those of the most frequent words (``contexts``), which may have any number of
-contexts, by word and context. What tasks must know of these words as contexts and as words is summed
-between rounds; the tables of all other contexts are summed by a shuffle of their cells. Probabilities are
-averaged over the last rounds. Scoring looks up frequent words after frequent contexts in a table of bounded
-size; other words are joined to the table of words, other contexts to the table of their cells.
+A word seen once in a context has one table there, in every sample, so a round samples the cells (word, context,
+count) of two customers and more, with the number of the others a word and a context. Cells and tokens are dealt
+out to parts by word; those of the most frequent words (``contexts``) by word and context. Between rounds, what
+tasks must know of these words is summed, and parts send the tables of all other contexts to owners that sum them
+and answer. Probabilities are averaged over the last rounds. Each part scores its own tokens, and owners sum texts.
+
+A part is one row; its numbers are packed columns, so Spark moves few rows, and numpy does the work on them.
 """
 
 from __future__ import annotations
@@ -21,27 +21,31 @@ import gc
 import time
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, in_fold, word_hashes
+from .common import Scratch, in_fold, mix, word_hashes
 
-#: Frequent words whose totals all tasks know, words scored without a join, and words with short codes.
-CONTEXTS, LOCAL, SHORT = 1_023, 16_384, 16_384
+#: Frequent words whose totals all tasks know, words listed by a model, and words with short codes.
+CONTEXTS, LOCAL, SHORT = 1_023, 16_384, 131_072
 #: Rounds of sampling, of which the last ones are averaged; sweeps of a task within a round.
 ROUNDS, KEPT, SWEEPS = 4, 2, 2
-#: Rows of a task; steps in which words are joined, and those in which they are joined to the cells of contexts that are not frequent, so that fewer files are on disk at once.
-CELLS, BY_WORD, STEPS = 200_000, 3, 8
+#: Tokens of a small table's part; tokens of a part; steps in which parts are scored, so that fewer files are on disk at once.
+CELLS, TOKENS, STEPS = 200_000, 1_400_000, 2
+#: Texts of the sample that tells which words are frequent (less than twice as many are read).
+TEXTS = 16_384
 #: Seconds that py4j gets to let go of dropped plans.
 PAUSE = 1.2
 THETA = 1.0
 END = np.int64(-7046029254386353131)
 EXACT = 64
+#: Customers up to which weights are multiplied rather than added as logarithms.
+FEW = 12
 #: Customers and tables up to which the Stirling numbers come from their recurrence.
 CUSTOMERS, TABLES = 4_096, 256
 #: Points at which a contour integral is taken; between them its logarithm is a polynomial in log(t + 1).
@@ -108,13 +112,115 @@ def _slices(texts: Iterator[bytes | None], size: int = 8_000_000) -> Iterator[li
         yield some
 
 
-def _count_cells(codes: Codes):
+# --- packed columns -----------------------------------------------------------------------------
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of numbers as one compressed value: what is shuffled are few rows of many numbers each.
+
+    Whole numbers are stored as differences from the least one, in as few bytes as they need, a byte's place after another.
+    """
+    head, planes = [], []
+    for x in columns:
+        low, kind, size = 0, 1, 8
+        if x.dtype.kind in "ib":
+            x = x.astype(np.int64, copy=False)
+            low, high = (int(x.min()), int(x.max())) if len(x) else (0, 0)
+            kind, size = 0, next((k for k in (1, 2, 4) if high - low < 1 << 8 * k), 8)
+            low = 0 if size == 8 else low
+            x = (x - low).astype(f"u{size}") if size < 8 else x
+        head += [kind, size, len(x), low]
+        planes.append(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), size).T).ravel())
+    raw = np.concatenate(planes)
+    return np.array([len(raw), len(columns), *head], np.int64).tobytes() + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+
+
+def unpack(value: bytes) -> list[np.ndarray]:
+    total, n = np.frombuffer(value, np.int64, 2).tolist()
+    raw = np.frombuffer(pa.Codec("zstd").decompress(memoryview(value)[16 + 32 * n :], decompressed_size=total), np.uint8)
+    out, at = [], 0
+    for kind, size, length, low in np.frombuffer(value, np.int64, 4 * n, 16).reshape(-1, 4).tolist():
+        x = np.ascontiguousarray(raw[at : at + length * size].reshape(size, length).T).reshape(-1)
+        out.append(x.view(float) if kind else x.view(np.int64) if size == 8 else x.view(f"u{size}").astype(np.int64) + low)
+        at += length * size
+    return out
+
+
+#: Rows between tasks: the part they go to, the one they come from, what they are, and columns.
+PACKED = "part int, src int, kind int, value binary"
+
+
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    part, src, kind, value = zip(*rows) if rows else ([], [], [], [])
+    return pa.record_batch([pa.array(x, t) for x, t in ((part, pa.int32()), (src, pa.int32()), (kind, pa.int32()), (value, pa.binary()))], ["part", "src", "kind", "value"])
+
+
+def _each(kernel):
+    """Runs a kernel on rows of PACKED, a batch at a time; it yields rows of PACKED."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in _slices(_texts(batch.column(0))):
-                words, which, before, _ = numbered(some, codes)
-                cell, n = _counted(which * len(words) + before)
-                yield pa.record_batch([pa.array(words[cell // len(words)]), pa.array(words[cell % len(words)]), pa.array(n)], ["h", "g", "n"])
+            for row in zip(*(batch.column(k) for k in range(4))):
+                yield _packed(list(kernel(*(x.as_py() for x in row))))
+
+    return run
+
+
+def _of_part(kernel):
+    """Runs a kernel on all rows of a part, in an order that no shuffle changes; it yields record batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list[tuple]] = {}
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                parts.setdefault(row[0], []).append(row[1:])
+        for part in sorted(parts):
+            yield from kernel(part, sorted(parts.pop(part)))
+
+    return run
+
+
+def _split_by(part: np.ndarray, parts: int, kind: int, *columns: np.ndarray, src: int = -1) -> Iterator[tuple]:
+    """Rows of PACKED of what goes to each part."""
+    order = np.argsort(part.astype(np.uint16) if parts <= 65_536 else part, kind="stable")
+    columns = [x[order] for x in columns]
+    found, first = np.unique(part[order], return_index=True)
+    for to, a, b in zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(part)]):
+        yield int(to), src, kind, pack(*(x[a:b] for x in columns))
+
+
+def _owner(code: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(code.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
+def _frequent(code: np.ndarray, wide: int) -> np.ndarray:
+    return (code >= 0) & (code < wide)
+
+
+def _tokens(codes: Codes, wide: int, parts: int):
+    """The tokens of texts, by the part of their word; those of the most frequent words by word and context.
+
+    A row a text, word and context (kind 0), and a row a text (kind 1).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = 0
+            for some in _slices(_texts(batch.column(3)), 2_000_000):
+                rows = batch.slice(done, len(some))
+                done += len(some)
+                row, held = rows.column(0).to_numpy(), rows.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+                words, which, before, start = numbered(some, codes)
+                text = np.repeat(np.arange(len(some)), np.diff(np.append(start, len(which))))
+                code, n = _counted((text * np.int64(len(words)) + which) * len(words) + before)
+                of, h, g = code // len(words) ** 2, words[code // len(words) % len(words)], words[code % len(words)]
+                hot = _frequent(h, wide)
+                part = _owner(np.where(hot, mix(h.view(np.uint64)).view(np.int64) ^ g, h), parts)
+                out = list(_split_by(part, parts, 0, h, g, row[of], 2 * n + held[of]))
+                ids = rows.column(1)
+                null = ids.is_null().to_numpy(zero_copy_only=False).astype(np.int64)
+                out += _split_by(_owner(row >> 10, _owners(parts)), parts, 1, row, ids.fill_null(0).to_numpy(), 2 * null + held)
+                yield _packed(out)
 
     return run
 
@@ -127,6 +233,7 @@ def _counted(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # --- sampling -----------------------------------------------------------------------------------
 
 
+@lru_cache(8)
 def log_stirling(discount: float, most: int = EXACT) -> np.ndarray:
     """Logs of the generalized Stirling numbers S(c, t), c and t from 0 to ``most``."""
     out = np.full((most + 1, most + 1), -np.inf)
@@ -275,6 +382,19 @@ def _whole_rows(sizes: np.ndarray, discount: float) -> list[np.ndarray]:
     return out
 
 
+def _draw_few(weights: np.ndarray, x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Numbers of tables of dishes with as many customers as there are weights, few enough that no power of a mass overflows."""
+    t, part = np.ones(len(x), np.int64), np.full(len(x), weights[0])
+    upto = [part]
+    for ratio in weights[1:] / weights[:-1]:
+        part = part * (ratio * x)
+        upto.append(upto[-1] + part)
+    drawn = rng.random(len(x)) * upto[-1]
+    for some in upto[:-1]:
+        t += some < drawn
+    return t
+
+
 def sample_tables(c: np.ndarray, x: np.ndarray, discount: float, stirling: np.ndarray, rng: np.random.Generator, curves: dict | None = None) -> np.ndarray:
     """Numbers of tables of dishes with ``c`` customers each and masses ``x`` of a new table.
 
@@ -292,6 +412,9 @@ def sample_tables(c: np.ndarray, x: np.ndarray, discount: float, stirling: np.nd
     near = near[np.argsort(c[near], kind="stable")]
     sizes, first = np.unique(c[near], return_index=True)
     for size, rows in zip(sizes, np.split(near, first[1:])):
+        if size <= FEW:
+            t[rows] = _draw_few(np.exp(stirling[size, 1 : size + 1] - stirling[size, 1]), x[rows], rng)
+            continue
         end = int(size) if size <= EXACT else int(most[rows].max())
         known = stirling[size, 1 : end + 1] if size <= EXACT else stirling_rows(discount)[size, 1 : end + 1]
         k = np.arange(1, end + 1)
@@ -329,70 +452,258 @@ class Totals:
         return (THETA + self.d1 * self.tables) / (THETA + self.customers)
 
 
-def _sweep(now: Totals, seed: int, kept: list[str], names: list[str]):
-    """Samples table numbers of the dishes of one part, given the totals; all rows of a word are in it, the first of them has its s.
+# --- tables of parts ----------------------------------------------------------------------------
+
+#: Sums over parts: single numbers, then four numbers a frequent code.
+ONE, TWO, W1, W2, ONCE, EVERY, PARENTS, SEEN, ALL, FIRST = range(10)
+PART = pa.schema([("part", pa.int32()), ("tokens", pa.binary()), ("cells", pa.binary()), ("seats", pa.binary()), ("texts", pa.binary()), ("sums", pa.binary())])
+STATE = pa.schema([("part", pa.int32()), ("seats", pa.binary()), ("sums", pa.binary())])
+
+
+def _row(schema: pa.Schema, *values) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([v], t) for v, t in zip(values, schema.types)], schema=schema)
+
+
+def _add(sums: np.ndarray, wide: int, k: int, code: np.ndarray, value: np.ndarray) -> None:
+    """Adds to the k-th number of each frequent code."""
+    ok = _frequent(code, wide)
+    sums[FIRST + k * wide : FIRST + (k + 1) * wide] += np.bincount(code[ok], value[ok], wide).astype(np.int64)
+
+
+def _sum_of(table: DataFrame, wide: int) -> np.ndarray:
+    """The sums of all parts."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(FIRST + 4 * wide, np.int64)
+        for batch in batches:
+            for v in batch.column(0).to_pylist():
+                total += unpack(v)[0]
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at), pa.array(total[at])], ["i", "v"])
+
+    found = table.select("sums").mapInArrow(add, "i bigint, v bigint").groupBy("i").agg(F.sum("v").alias("v")).toArrow()  # a row a sum
+    out = np.zeros(FIRST + 4 * wide, np.int64)
+    out[found.column("i").to_numpy()] = found.column("v").to_numpy()
+    return out
+
+
+def _cells(wide: int):
+    """What a part keeps: its tokens ordered by word and context, its cells, their seating with a table each, its texts."""
+
+    def kernel(part: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        texts = pack(*map(np.concatenate, zip(*(unpack(v) for _, kind, v in rows if kind == 1)))) if any(k == 1 for _, k, _ in rows) else None
+        found = [unpack(v) for _, kind, v in rows if kind == 0]
+        none = [np.empty(0, np.int64)] * 4
+        h, g, row, n = (np.concatenate(x) for x in zip(*found)) if found else none
+        del found
+        rows.clear()
+        words, h = np.unique(h, return_inverse=True)
+        contexts, g = np.unique(g, return_inverse=True)
+        key = h * np.int64(max(1, len(contexts))) + g
+        order = np.argsort(key)
+        del h, g
+        key, row, n = key[order], row[order], n[order]
+        del order
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+        length = np.diff(np.append(first, len(key)))
+        word, g = key[first] // max(1, len(contexts)), contexts[key[first] % max(1, len(contexts))]
+        c = np.add.reduceat(np.where(n & 1, 0, n >> 1), first) if len(first) else np.empty(0, np.int64)
+        of = lambda x: np.bincount(word, x, len(words)).astype(np.int64)
+        size, total, alone, several, seen = of(np.ones(len(word))), of(c), of(c == 1), of(c > 1), of(c > 0)
+        hot, many = _frequent(words, wide), c > 1
+        # words of one customer have one table
+        listed = hot | (total > 1)
+        at = np.unique(g[many & ~_frequent(g, wide)])
+        seats = [words[listed], alone[listed], several[listed], np.ones(listed.sum(), np.int64), g[many], c[many], np.ones(many.sum(), np.int64), np.zeros(len(at), np.int64)]
+        sums = np.zeros(FIRST + 4 * wide, np.int64)
+        sums[[ONE, TWO, W1, W2, ONCE, EVERY, SEEN, ALL]] = [(c == 1).sum(), (c == 2).sum(), (seen[~hot] == 1).sum(), (seen[~hot] == 2).sum(), (total[~hot] == 1).sum(), (c > 1).sum(), (total[~hot] > 0).sum(), c.sum()]
+        for k, (code, value) in enumerate(((g, c), (g, c == 1), (words, alone), (words, total))):
+            _add(sums, wide, k, code, value)
+        yield _row(PART, part, pack(length, row, n >> 1), pack(words, size, g, c), pack(*seats), texts, pack(sums))
+
+    return _of_part(kernel)
+
+
+def _owners(parts: int) -> int:
+    """Tasks that sum what parts send them of contexts and of texts: fewer than parts, as each part sends to each."""
+    return -(-parts // 3)
+
+
+def _context_counts(wide: int, parts: int, whole: bool):
+    """From the cells of a part, sums of its contexts that are not frequent: customers, cells of one customer, others.
+
+    Asks (kind 0) for the sums of those with a cell of several customers, or of all, held out ones too.
+    """
+    owners = _owners(parts)
+
+    def kernel(part: int, src: int, kind: int, value: bytes) -> Iterator[tuple]:
+        _, _, g, c = unpack(value)
+        rare = ~_frequent(g, wide) & (whole | (c > 0))
+        g, at = np.unique(g[rare], return_inverse=True)
+        count = lambda x: np.bincount(at, x[rare], len(g)).astype(np.int64)
+        customers, alone, several = count(c), count(c == 1), count(c > 1)
+        if whole:
+            yield from _split_by(_owner(g, owners), owners, 0, g, customers, *[alone] * KEPT, src=part)
+        else:
+            asks = several > 0
+            yield from _split_by(_owner(g[asks], owners), owners, 0, g[asks], alone[asks], several[asks], src=part)
+            yield from _split_by(_owner(g[~asks], owners), owners, 1, g[~asks], alone[~asks], several[~asks], src=part)
+
+    return _each(kernel)
+
+
+def _context_tables(wide: int, parts: int, kept: bool):
+    """From the seating of a part, the tables of its contexts that are not frequent, now or in all kept samples."""
+    owners = _owners(parts)
+
+    def kernel(part: int, src: int, kind: int, value: bytes) -> Iterator[tuple]:
+        _, _, _, _, g, _, now, _, *old = unpack(value)
+        rare = ~_frequent(g, wide)
+        g, at = np.unique(g[rare], return_inverse=True)
+        tables = [np.bincount(at, t[rare], len(g)).astype(np.int64) for t in ([*old[1::2], now] if kept else [now])]
+        yield from _split_by(_owner(g, owners), owners, 1 if kept else 0, g, *([np.zeros(len(g), np.int64)] if kept else []), *tables, src=part)
+
+    return _each(kernel)
+
+
+def _answers(part: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Sums a context over all parts, for those that ask, in the order in which they ask."""
+    found = [(src, kind, unpack(v)) for src, kind, v in rows]
+    rows.clear()
+    _, at = np.unique(np.concatenate([x[0] for _, _, x in found]), return_inverse=True)
+    sums = [np.bincount(at, np.concatenate([x[k] for _, _, x in found])).astype(np.int64) for k in range(1, len(found[0][2]))]
+    end = np.cumsum([len(x[0]) for _, _, x in found]).tolist()
+    for (src, kind, x), b in zip(found, end):
+        if kind == 0:
+            mine = at[b - len(x[0]) : b]
+            yield _packed([(src, part, 9, pack(*(v[mine] for v in sums)))])
+
+
+def _answered(contexts: np.ndarray, parts: int, rows: list[tuple], n: int) -> list[np.ndarray]:
+    """Sums of sorted contexts from the answers of their owners."""
+    order = np.argsort(_owner(contexts, _owners(parts)), kind="stable")
+    found = [unpack(v) for _, kind, v in rows if kind == 9]  # rows are in the order of their owners
+    out = [np.zeros(len(contexts), np.int64) for _ in range(n)]
+    for k in range(n if found else 0):
+        out[k][order] = np.concatenate([x[k] for x in found])
+    return out
+
+
+def _sweep(now: Totals, seed: int, parts: int, first: bool, keep: bool):
+    """Samples the table numbers of the dishes of one part, given the totals; all cells of a word are in it.
 
-    Only those of a frequent word are spread over parts; its totals are the round's. A row of context 1 has as t the
-    number of a word's cells of one customer. ``m`` are the tables of a context that is not frequent. ``names`` are
-    the columns that keep the earlier samples, ``kept`` the ones they are read from.
+    Only those of a frequent word are spread over parts; its totals are the round's. Cells of one customer are only
+    numbers, of a word and of a context. A seating that is kept stays beside the new one.
     """
 
-    def kernel(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["h", "g"], ignore_index=True)
-        rng = np.random.default_rng([seed, int(key[0])])
-        h, g, c, t, s, m = (group[k].to_numpy(np.int64) for k in ("h", "g", "c", "t", "s", "m"))
-        word = np.concatenate([[0], np.cumsum(h[1:] != h[:-1])]).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], np.diff(word) > 0]))
-        hot = (h[first] >= 0) & (h[first] < len(now.seats))
-        known = np.where(hot, h[first], 0)
-        s = np.where(hot, 0, s[first])
+    def kernel(part: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        rng, wide = np.random.default_rng([seed, part]), len(now.tables)
+        words, alone, several, s, g, c, t, lone, *old = unpack(next(v for _, kind, v in rows if kind == 2))
+        near, hot = _frequent(g, wide), _frequent(words, wide)
+        contexts, at = np.unique(g[~near], return_inverse=True)
+        lone, tables = _answered(contexts, parts, rows, 2) if first else (lone, *_answered(contexts, parts, rows, 1))
+        kept = [*old, s, t] if keep else old
+        word, s, code = np.repeat(np.arange(len(words)), several), s.copy(), np.where(hot, words, 0)
+        mass = np.empty(len(g))
+        mass[near], mass[~near] = now.tables[g[near]], (lone + tables)[at]
+        mass = THETA + now.d1 * mass
         one, zero = log_stirling(now.d1), log_stirling(now.d0)
-        near = (g >= 0) & (g < len(now.tables))
-        mass = THETA + now.d1 * np.where(near, now.tables[np.where(near, g, 0)], m)
-        alone = g == 1
         curves: dict = {}  # of this task's dishes with many customers
+        count = lambda: alone + np.bincount(word, t, len(words)).astype(np.int64)
         for _ in range(SWEEPS):
-            total = np.where(hot, now.seats[known], np.bincount(word, t)).astype(np.int64)
-            p0 = np.maximum(now.parent(total, np.where(hot, now.dishes[known], s)), 1e-300)
-            t = np.where(alone, t, sample_tables(c, mass * p0[word], now.d1, one, rng, curves))
-            total = np.bincount(word, t).astype(np.int64)[~hot]
+            p0 = np.maximum(now.parent(np.where(hot, now.seats[code], count()), np.where(hot, now.dishes[code], s)), 1e-300)
+            t = sample_tables(c, mass * p0[word], now.d1, one, rng, curves)
+            total = count()[~hot]
             s[~hot] = sample_tables(total, np.full(len(total), now.base()), now.d0, zero, rng, curves)
-        of_word = np.zeros(len(t), np.int64)
-        of_word[first] = s
-        old = {name: group[column] for name, column in zip(names, kept)}
-        return group[["part", "h", "g", "c", "k"]].assign(t=t, s=of_word, **old)
+        sums = np.zeros(FIRST + 4 * wide, np.int64)
+        sums[[EVERY, PARENTS]] = t.sum(), s[~hot].sum()
+        _add(sums, wide, 1, g, t)
+        _add(sums, wide, 2, words, count() - alone)
+        yield _row(STATE, part, pack(words, alone, several, s, g, c, t, lone, *kept), pack(sums))
 
-    return kernel
+    return _of_part(kernel)
 
 
 @dataclass
 class Model:
     codes: Codes
-    local: np.ndarray  # sorted codes of the words scored without a join
-    local_counts: np.ndarray
-    cell_keys: np.ndarray  # sorted numbers of the seen cells (local word, frequent context)
-    cell_logs: np.ndarray  # their log10 probabilities
-    parents: np.ndarray  # parent probabilities of the local words, a column a sample
+    top: pd.DataFrame  # hashes and counts of the most frequent words
+    n_local: int
+    known: np.ndarray  # customers of each frequent word
     samples: list[Totals]
-    words: DataFrame  # h, c, p (parent probability a sample), u and own (frequent contexts and probabilities of its cells) of the words
-    cells: DataFrame  # h, g, c, t0 and up (tables a sample) of all seen cells whose context is not frequent
+    parts: int
+    table: DataFrame  # a row a part: its tokens, cells, texts
+    state: DataFrame  # a row a part: its seating, with the kept samples
 
     @property
     def base_floor(self) -> float:
         return self.samples[0].tokens + 0.1 * (self.samples[0].words + 1)
 
+    def _by_part(self, kernel, schema: str) -> DataFrame:
+        rows = _rows(self.table, "cells", 3).union(_rows(self.state, "seats", 2))
+        return rows.repartitionById(self.parts, "part").mapInArrow(_of_part(kernel), schema)
+
+    @cached_property
+    def words(self) -> DataFrame:
+        """h, c, p (parent probability a sample), u and own (frequent contexts and probabilities of its cells) of the words."""
+        found = self._by_part(_word_rows(self.samples, self.known), "h bigint, c bigint, p array<double>, u int, own double")
+        cell = F.when(F.col("u").isNotNull(), F.struct("u", "own"))
+        return found.groupBy("h").agg(F.max("c").alias("c"), F.max("p").alias("p"), F.sort_array(F.collect_list(cell)).alias("x")).select("h", "c", "p", F.col("x.u").alias("u"), F.col("x.own").alias("own"))
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        """h, g, c and tables a sample of all seen cells whose context is not frequent."""
+        return self._by_part(_cell_rows(self.samples), ", ".join(["h bigint, g bigint, c bigint", *(f"t{j} bigint" for j in range(len(self.samples)))]))
+
+    @cached_property
+    def local(self) -> np.ndarray:
+        """Sorted codes of the most frequent words."""
+        return np.sort(self.codes.of(self.top["h"].to_numpy()[: self.n_local]))
+
+    @cached_property
+    def _mine(self) -> pd.DataFrame:
+        close = F.broadcast(self.table.sparkSession.createDataFrame(pd.DataFrame({"w": self.local})))  # ``local`` rows at most
+        return self.words.join(close, F.col("h") == F.col("w"), "left_semi").orderBy("h").toPandas()
+
+    @cached_property
+    def parents(self) -> np.ndarray:
+        """Parent probabilities of the local words, a column a sample."""
+        return np.stack(self._mine["p"].to_list())
+
+    @cached_property
+    def cell_keys(self) -> np.ndarray:
+        """Numbers of the seen cells (local word, frequent context)."""
+        return np.concatenate([i * np.int64(len(self.known)) + np.asarray(u, np.int64) for i, u in enumerate(self._mine["u"])])
+
+    @cached_property
+    def cell_logs(self) -> np.ndarray:
+        """Their log10 probabilities."""
+        return np.log10(np.concatenate([np.asarray(x, float) for x in self._mine["own"]]))
+
+
+def _rows(table: DataFrame, column: str, kind: int) -> DataFrame:
+    """A column of a table of parts as rows of PACKED."""
+    return table.filter(F.col(column).isNotNull()).select("part", F.lit(-1).alias("src"), F.lit(kind).alias("kind"), F.col(column).alias("value"))
+
 
 def fit(docs: DataFrame, scratch: Scratch, *, contexts: int = CONTEXTS, local: int = LOCAL, rounds: int = ROUNDS, seed: int = 11) -> Model | None:
-    """Counts all words of the text column of ``docs`` and samples the seating; None without a row.
+    """Counts all words of the texts that are not held out and samples the seating; None without such a row.
 
-    Every word is a context with a restaurant of its own. ``contexts`` and ``local`` only say how many words are
-    handled by totals that all tasks know, and by a table that they look words up in, rather than by shuffles.
+    ``docs`` has a text, and may have a doc_id and held_out. Every word is a context with a restaurant of its own.
+    ``contexts`` only says of how many words all tasks know the totals, ``local`` how many ``Model.parents`` lists.
     """
-    texts = docs.select("text")
-    counts = scratch.save(texts.mapInArrow(_count_words, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("c")), "counts")
-    tokens, words = counts.agg(F.sum("c"), F.count("*")).first()
-    if not words:
+    held = F.coalesce("held_out", F.lit(False)) if "held_out" in docs.columns else F.lit(False)
+    ids = F.col("doc_id") if "doc_id" in docs.columns else F.lit(None)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), ids.cast("bigint").alias("doc_id"), held.alias("held_out"), "text")
+    train = rows.filter("not held_out")
+    n = train.count()
+    if not n:
         return None
+    # which words are frequent, and so how work is dealt out, is read off a sample; nothing else is
+    every = max(1, n // TEXTS)
+    some = train.filter(F.pmod(F.xxhash64("doc_id" if "doc_id" in docs.columns else "text"), F.lit(every)) == 0).select("text")
+    counts = scratch.save(some.mapInArrow(_count_words, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("c")), "counts")
+    tokens = every * (counts.agg(F.sum("c")).first()[0] or 0)
     top = counts.orderBy(F.desc("c"), "h").limit(max(local, contexts, SHORT)).toPandas()
     scratch.drop(counts)
     _free_shuffles(docs, tokens)
@@ -400,94 +711,66 @@ def fit(docs: DataFrame, scratch: Scratch, *, contexts: int = CONTEXTS, local: i
     order = np.argsort(hashes)
     codes = Codes(hashes[order], order + 2)
     wide = min(contexts, len(top)) + 2
-    near, hot = F.col("g").between(0, wide - 1), F.col("h").between(0, wide - 1)
-    cells = scratch.save(texts.mapInArrow(_count_cells(codes), "h bigint, g bigint, n bigint").groupBy("h", "g").agg(F.sum("n").alias("c")), "cells", compression="zstd")
-    _free_shuffles(docs, tokens)
-    by_word = scratch.save(cells.groupBy("h").agg(F.count("*").alias("cells"), F.count_if(F.col("c") == 1).alias("k"), F.sum("c").alias("c")), "words")
-    one, two, many = cells.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2), F.count_if(F.col("c") > 1)).first()
-    w1, w2, rest, once = by_word.agg(F.count_if(F.col("cells") == 1), F.count_if(F.col("cells") == 2), F.count_if(~hot & (F.col("c") > 1) & (F.col("k") > 0)), F.count_if(~hot & (F.col("c") == 1))).first()
-    discount = lambda a, b: float(min(0.95, max(0.1, a / (a + 2 * b) if a else 0.5)))
-    d1, d0 = discount(one, two), discount(w1, w2)
-    # cells of one customer have one table: only their number is kept, of each word and of each context
-    customers, alone, alone_of, known = (np.zeros(wide, np.int64) for _ in range(4))
-    for row in cells.filter(near).groupBy("g").agg(F.sum("c").alias("c"), F.count_if(F.col("c") == 1).alias("k")).collect():  # a row a frequent context
-        customers[row["g"]], alone[row["g"]] = row["c"], row["k"]
-    for row in by_word.filter(hot).collect():  # a row a frequent word
-        known[row["h"]], alone_of[row["h"]] = row["c"], row["k"]
-    fixed = {"tokens": int(tokens), "words": int(words), "customers": customers, "alone": alone, "alone_of": alone_of, "one": one, "once": once}
-    nothing = F.lit(0).cast("bigint").alias("k")
-    first = [F.lit(1).cast("bigint").alias("t"), F.lit(1).cast("bigint").alias("s")]
-    several, lone = cells.filter("c > 1"), cells.filter(~near & (F.col("c") == 1)).groupBy("g").agg(F.count("*").alias("k"))
-    seats = (
-        several.filter(near).select("h", "g", "c", *first, nothing)
-        .union(several.filter(~near).join(lone.hint("shuffle_hash"), "g", "left").select("h", "g", "c", *first, F.coalesce("k", F.lit(0)).alias("k")))
-        .union(by_word.filter(~hot & (F.col("c") > 1) & (F.col("k") > 0)).select("h", F.lit(1).cast("bigint").alias("g"), F.lit(0).cast("bigint").alias("c"), F.col("k").alias("t"), first[1], nothing))
-    )
-    _free_shuffles(docs, tokens)
-    # a whole word goes to one part, but for the frequent ones; parts grow in number with the table
-    parts = max(1, -(-(many + rest) // CELLS))
-    part = F.pmod(F.when(hot, F.xxhash64("h", "g")).otherwise(F.xxhash64("h")), F.lit(parts)).cast("int").alias("part")
-    state = scratch.save(seats.select(part, "h", "g", "c", "t", "s", "k"), "seating")
+    # parts grow in number with the table
+    parts = max(1, -(-tokens // TOKENS), min(12, -(-tokens // CELLS)))
+    split = rows.mapInArrow(_tokens(codes, wide, parts), PACKED).repartitionById(parts, "part")
+    table = scratch.save(split.mapInArrow(_cells(wide), _ddl(PART)), "parts", compression="uncompressed")
     _free_shuffles(docs, tokens)
-    samples, names = [], []
-    now = _totals(state, d1, d0, fixed, None, seed)
+    sums = _sum_of(table, wide)
+    customers, alone, alone_of, known = sums[FIRST:].reshape(4, wide)
+    # the few cells of frequent words and contexts that have a table each at first
+    several, several_of = _several(table, wide)
+    d1 = _discount(sums[ONE], sums[TWO])
+    cells_of = alone_of + several_of
+    d0 = _discount(sums[W1] + (cells_of == 1).sum(), sums[W2] + (cells_of == 2).sum())
+    fixed = {"tokens": int(sums[ALL]), "words": int(sums[SEEN] + (known > 0).sum()), "customers": customers, "alone": alone, "alone_of": alone_of, "one": int(sums[ONE]), "once": int(sums[ONCE])}
+    now = _totals(np.concatenate([sums[:FIRST], customers, several, several_of, known]), d1, d0, fixed, None, seed)
+    samples, state = [], table
     for r in range(rounds):
         # from the first sample that counts on, a round carries the samples before its own
         j = r - max(0, rounds - KEPT)
-        kept = [*names, "t", "s"] if j > 0 else []
-        names = [*names, f"t{j}", f"s{j}"] if j > 0 else []
-        schema = ", ".join(["part int, h bigint, g bigint, c bigint, k bigint, t bigint, s bigint", *(f"{k} bigint" for k in names)])
-        tables = F.col("k") + F.sum("t").over(Window.partitionBy("g"))
-        whole = state.filter(~near).withColumn("m", tables).union(state.filter(near).withColumn("m", F.lit(0).cast("bigint")))
-        old, state = state, scratch.save(whole.groupBy("part").applyInPandas(_sweep(now, seed + r, kept, names), schema), "seating")
-        scratch.drop(old)
+        asks = _rows(table, "cells", 3).mapInArrow(_context_counts(wide, parts, False), PACKED) if r == 0 else _rows(state, "seats", 2).mapInArrow(_context_tables(wide, parts, False), PACKED)
+        answers = asks.repartitionById(_owners(parts), "part").mapInArrow(_of_part(_answers), PACKED)
+        both = _rows(state, "seats", 2).union(answers).repartitionById(parts, "part")
+        old, state = state, scratch.save(both.mapInArrow(_sweep(now, seed + r, parts, r == 0, j > 0), _ddl(STATE)), "seating", compression="uncompressed")
+        if r:
+            scratch.drop(old)
+        del asks, answers, both
         _free_shuffles(docs, tokens)
-        now = _totals(state, d1, d0, fixed, now, seed + r)
+        now = _totals(_sum_of(state, wide), d1, d0, fixed, now, seed + r)
         if j >= 0:
             samples.append(now)
-    longs = lambda *values: F.array(*(F.lit(v).cast("bigint") if isinstance(v, int) else F.col(v) for v in values))
-    t, s, ones, zeros = longs(*names[::2], "t"), longs(*names[1::2], "s"), longs(*[1] * len(samples)), longs(*[0] * len(samples))
-    single, empty = cells.filter(F.col("c") == 1), [F.lit(1).cast("bigint").alias("g"), F.lit(0).cast("bigint").alias("c")]
-    joined = (
-        state.filter(near | ~hot).select("h", "g", "c", t.alias("t"), s.alias("s"))
-        .union(single.filter(near).select("h", "g", "c", ones, zeros))
-        .union(by_word.filter(~hot & (F.col("c") == 1)).select("h", *empty, ones, ones))
-        .union(by_word.filter(hot).select("h", *empty, zeros, zeros))
-    )
-    parts = max(1, -(-int(many + rest + words) // CELLS))
-    joined = joined.withColumn("part", F.pmod(F.xxhash64("h"), F.lit(parts)).cast("int"))
-    table = scratch.save(joined.groupBy("part").applyInArrow(_predict(samples, known), "h bigint, c bigint, p array<double>, u array<int>, own array<double>"), "predictive", compression="zstd")
-    _free_shuffles(docs, tokens)
-    tables = [c.alias(f"t{j}") for j, c in enumerate([*map(F.col, names[::2]), F.col("t")])]
-    links = single.filter(~near).select("h", "g", "c", *(F.lit(1).cast("bigint").alias(f"t{j}") for j in range(len(samples)))).union(state.filter(~near).select("h", "g", "c", *tables))
-    links = scratch.save(links, "links", compression="zstd")
-    scratch.drop(by_word, cells, state)
-    _free_shuffles(docs, tokens)
-    mapped = codes.of(top["h"].to_numpy()[:local])
-    order = np.argsort(mapped)
-    here, here_counts = mapped[order], top["c"].to_numpy()[:local][order]
-    close = F.broadcast(docs.sparkSession.createDataFrame(pd.DataFrame({"w": here})))  # ``local`` rows at most
-    mine = table.join(close, F.col("h") == F.col("w"), "left_semi")
-    found = mine.select("h", *(F.get("p", F.lit(j)).alias(f"p{j}") for j in range(len(samples)))).orderBy("h").toArrow()
-    parents = np.stack([found.column(j + 1).to_numpy() for j in range(len(samples))], 1)
-    own = mine.select("h", F.explode(F.arrays_zip("u", "own")).alias("x")).select("h", "x.u", "x.own").orderBy("h", "u").toArrow()  # a row a seen cell of a local word
-    keys = np.searchsorted(here, own.column(0).to_numpy()) * np.int64(wide) + own.column(1).to_numpy()
-    return Model(codes, here, here_counts, keys, np.log10(own.column(2).to_numpy()), parents, samples, table, links)
-
-
-def _totals(state: DataFrame, d1: float, d0: float, fixed: dict, before: Totals | None, seed: int) -> Totals:
+    return Model(codes, top, local, known, samples, parts, table, state)
+
+
+def _ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {'int' if f.type == pa.int32() else 'binary'}" for f in schema)
+
+
+def _discount(a: int, b: int) -> float:
+    return float(min(0.95, max(0.1, a / (a + 2 * b) if a else 0.5)))
+
+
+def _several(table: DataFrame, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each frequent context and of each frequent word, the cells of several customers."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for v in batch.column(0).to_pylist():
+                words, _, several, _, g, *_ = unpack(v)
+                sums = np.zeros(FIRST + 4 * wide, np.int64)
+                _add(sums, wide, 0, g, np.ones(len(g)))
+                _add(sums, wide, 1, words, several)
+                yield pa.record_batch([pa.array([pack(sums)], pa.binary())], ["sums"])
+
+    return tuple(_sum_of(table.select("seats").mapInArrow(count, "sums binary"), wide)[FIRST:].reshape(4, wide)[:2])
+
+
+def _totals(sums: np.ndarray, d1: float, d0: float, fixed: dict, before: Totals | None, seed: int) -> Totals:
     """Sums over the seating, with the cells of one customer; samples the parent's tables of frequent words, one each at first."""
     wide = len(fixed["customers"])
-    tables, seats, every, parents = fixed["alone"].copy(), fixed["alone_of"].copy(), fixed["one"], fixed["once"]
-    near, hot = F.col("g").between(0, wide - 1), F.col("h").between(0, wide - 1)
-    for row in state.groupBy(F.when(near, F.col("g")).alias("g")).agg(F.sum("t").alias("t"), F.sum("s").alias("s")).collect():  # a row a frequent context
-        parents += row["s"]
-        if row["g"] != 1:
-            every += row["t"]
-            if row["g"] is not None:
-                tables[row["g"]] += row["t"]
-    for row in state.filter(hot).groupBy("h").agg(F.sum("t").alias("t")).collect():  # a row a frequent word
-        seats[row["h"]] += row["t"]
+    _, tables, seats, _ = sums[FIRST:].reshape(4, wide)
+    tables, seats, every, parents = tables + fixed["alone"], seats + fixed["alone_of"], fixed["one"] + sums[EVERY], fixed["once"] + sums[PARENTS]
     if before is None:
         dishes, parents = np.minimum(seats, 1), fixed["words"]
     else:
@@ -496,128 +779,106 @@ def _totals(state: DataFrame, d1: float, d0: float, fixed: dict, before: Totals
     return Totals(d1, d0, fixed["tokens"], fixed["words"], fixed["customers"].astype(float), tables.astype(float), int(parents), int(every), seats, dishes)
 
 
-def _predict(samples: list[Totals], known: np.ndarray):
-    def kernel(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("h", "ascending"), ("g", "ascending")]).combine_chunks()
-        h, g, c = (group.column(k).to_numpy() for k in ("h", "g", "c"))
-        t, s = (group.column(k).combine_chunks().flatten().to_numpy().reshape(-1, len(samples)) for k in ("t", "s"))
-        word = np.concatenate([[0], np.cumsum(h[1:] != h[:-1])]).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], np.diff(word) > 0]))
-        hot = (h[first] >= 0) & (h[first] < len(known))
-        code = np.where(hot, h[first], 0)
-        counted = c != 1  # cells of one customer are counted by the word's row of context 1
-        total = lambda x: np.bincount(word, x * counted)
-        count = np.where(hot, known[code], total(np.where(g == 1, t[:, 0], c))).astype(np.int64)
-        p0 = np.stack([x.parent(np.where(hot, x.seats[code], total(t[:, j])), np.where(hot, x.dishes[code], np.bincount(word, s[:, j]))) for j, x in enumerate(samples)], 1)
-        listed = np.flatnonzero((g >= 0) & (g < len(known)) & (g != 1))
-        word, u, c, t = word[listed], g[listed], c[listed], t[listed]
-        p = np.mean([(c - x.d1 * t[:, j] + (THETA + x.d1 * x.tables[u]) * p0[word, j]) / (THETA + x.customers[u]) for j, x in enumerate(samples)], 0)
-        end = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(first)))])
-        lists = [pa.ListArray.from_arrays(pa.array(end, pa.int32()), x) for x in (pa.array(u, pa.int32()), pa.array(p))]
-        each = pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1) * len(samples), pa.int32()), pa.array(p0.ravel()))
-        return pa.table({"h": h[first], "c": count, "p": each, "u": lists[0], "own": lists[1]})
-
-    return kernel
-
-
 # --- scoring ------------------------------------------------------------------------------------
 
 
-def _scored(model: dict, part: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch:
-    """A row a text (kind 0) with the sums over its local words, and a row each other word and context of it.
-
-    Local words after frequent contexts need no row. Kinds: 1 other words after these, 2 local words after others, 3 the rest.
-    """
-    words, which, before, start = numbered(texts, model["codes"])
-    wide = model["share"].shape[1]
-    at = np.minimum(np.searchsorted(model["local"], words), len(model["local"]) - 1)
-    hit, near = model["local"][at] == words, (words >= 0) & (words < wide)
-    local, ready = hit[which], (hit[which] & near[before])
-    total = lambda x, of: np.add.reduceat(np.where(of, x, 0), start)
-    cells, back = np.unique(np.where(ready, at[which] * np.int64(wide) + words[before], 0), return_inverse=True)
-    logs = _cell_logs(model, cells // wide, cells % wide)
-    size = np.diff(np.append(start, len(which)))
-    text = np.repeat(np.arange(len(texts)), size)
-    code, n = _counted(((text * np.int64(len(words)) + which) * len(words) + before)[~ready])
-    row = np.arange(part.num_rows)
-    rest, h, g = code // len(words) ** 2, code // len(words) % len(words), code % len(words)
-    of = pa.array(np.concatenate([row, rest]))
-    none = lambda values, kind: pa.concat_arrays([pa.array(values, kind), pa.nulls(len(rest), kind)])
-    also = lambda values, kind: pa.concat_arrays([pa.nulls(len(row), kind), pa.array(values, kind)])
-    return pa.record_batch(
-        [
-            pa.array(np.concatenate([np.zeros(len(row), np.int32), np.where(near[g], 1, np.where(hit[h], 2, 3))]), pa.int32()),
-            part.column(0).take(of), pa.concat_arrays([part.column(2), pa.nulls(len(rest), pa.int64())]), pa.concat_arrays([part.column(3), pa.nulls(len(rest), pa.bool_())]),
-            none(size, pa.int64()), none(total(1, local), pa.int64()), none(total(model["base"][at][which], local), pa.float64()), none(total(logs[back], ready), pa.float64()),
-            also(words[h], pa.int64()), also(words[g], pa.int64()), also(n, pa.int64()),
-        ],
-        ["kind", "row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "h", "g", "n"],
-    )
-
-
-def _cell_logs(model: dict, at: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Log10 probabilities of local words in contexts: the cell's own, or what goes to the parent."""
-    key = at * np.int64(model["share"].shape[1]) + u
-    cell = np.minimum(np.searchsorted(model["keys"], key), max(0, len(model["keys"]) - 1))
-    seen = model["keys"][cell] == key if len(model["keys"]) else np.zeros(len(key), bool)
-    out = np.empty(len(key))
-    out[seen] = model["logs"][cell[seen]]
-    out[~seen] = np.log10((model["parents"][at[~seen]] * model["share"][:, u[~seen]].T).mean(1))
-    return out
-
-
-def _score_texts(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            done = 0
-            for some in _slices(_texts(batch.column(1)), 2_000_000):
-                yield _scored(model, batch.slice(done, len(some)), some)
-                done += len(some)
+@dataclass
+class Part:
+    """The cells of a part, also held out ones, and its words."""
+
+    words: np.ndarray
+    counts: np.ndarray  # customers of the words
+    parents: np.ndarray  # their parent probabilities, a column a sample
+    word: np.ndarray  # of each cell
+    g: np.ndarray
+    c: np.ndarray
+    tables: np.ndarray  # of each cell, a column a sample
+
+
+def _part(samples: list[Totals], known: np.ndarray, rows: list[tuple]) -> Part:
+    words, size, g, c = unpack(next(v for _, kind, v in rows if kind == 3))
+    _, alone, _, s, _, _, t, _, *old = unpack(next(v for _, kind, v in rows if kind == 2))
+    word = np.repeat(np.arange(len(words)), size)
+    hot = _frequent(words, len(known))
+    code = np.where(hot, words, 0)
+    own = np.bincount(word, c, len(words)).astype(np.int64)
+    listed = hot | (own > 1)
+    tables, parents = np.empty((len(c), len(samples)), np.int64), np.empty((len(words), len(samples)))
+    for j, (x, sj, tj) in enumerate(zip(samples, [*old[::2], s], [*old[1::2], t])):
+        tables[:, j] = c == 1
+        tables[c > 1, j] = tj
+        dishes = np.minimum(own, 1)
+        dishes[listed] = sj
+        parents[:, j] = x.parent(np.where(hot, x.seats[code], np.bincount(word, tables[:, j], len(words))), np.where(hot, x.dishes[code], dishes))
+    return Part(words, np.where(hot, known[code], own), parents, word, g, c, tables)
+
+
+def _word_rows(samples: list[Totals], known: np.ndarray):
+    def kernel(part: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        x = _part(samples, known, rows)
+        listed = np.flatnonzero(_frequent(x.g, len(known)) & (x.c > 0))
+        word, u, c = x.word[listed], x.g[listed], x.c[listed]
+        p = np.mean([(c - y.d1 * x.tables[listed, j] + (THETA + y.d1 * y.tables[u]) * x.parents[word, j]) / (THETA + y.customers[u]) for j, y in enumerate(samples)], 0)
+        rest = np.flatnonzero(x.counts > 0)
+        at = np.concatenate([rest, word])
+        none = np.concatenate([np.ones(len(rest), bool), np.zeros(len(word), bool)])
+        each = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * len(samples), pa.int32()), pa.array(x.parents[at].ravel()))
+        null = lambda v, kind: pa.array(np.concatenate([np.zeros(len(rest), v.dtype), v]), kind, mask=none)
+        yield pa.record_batch([pa.array(x.words[at]), pa.array(x.counts[at]), each, null(u, pa.int32()), null(p, pa.float64())], ["h", "c", "p", "u", "own"])
 
-    return run
+    return kernel
 
 
-def _score_cells(shared, floor: float, d1: float):
-    """Sums over the words of some contexts that are not frequent; a context's tokens and cells are all in one part."""
-
-    def kernel(tokens: pa.Table, cells: pa.Table) -> pa.Table:
-        model = shared.value
-        row, h, g, n = (tokens.column(k).to_numpy() for k in ("row", "h", "g", "n"))
-        parents = model["parents"]
-        p = np.stack([tokens.column(f"p{j}").to_numpy() for j in range(parents.shape[1])], 1)  # not a number for local words
-        here = np.isnan(p[:, 0])
-        p[here] = parents[np.searchsorted(model["local"], h[here])]
-        count = tokens.column("c").to_numpy()
-        ch, cg, c = (cells.column(k).to_numpy() for k in ("h", "g", "c"))
-        t = np.stack([cells.column(f"t{j}").to_numpy() for j in range(p.shape[1])], 1)
-        contexts, of = np.unique(cg, return_inverse=True)
-        words, word = np.unique(ch, return_inverse=True)
-        key = of * np.int64(len(words)) + word
-        order = np.argsort(key)
-        at, context = _found(contexts, g)
-        word_at, seen = _found(words, h)
-        cell, seen_cell = _found(key[order], at * np.int64(len(words)) + word_at)
-        seen = context & seen & seen_cell
-        cell = order[cell] if len(order) else cell
-        get = lambda values, i, ok: np.where(ok, values[i], 0) if len(values) else np.zeros(len(ok))
-        customers = get(np.bincount(of, c), at, context)
-        each = [get(c - d1 * t[:, j], cell, seen) + (THETA + d1 * get(np.bincount(of, t[:, j]), at, context)) * p[:, j] for j in range(p.shape[1])]
-        score = n * np.log10(np.mean(each, 0) / (THETA + customers))
-        base = np.where(here, 0.0, n * np.log10((np.where(here, 0, count) + 0.1) / floor))  # local words are in their text's row
-        known = np.where(here | (count == 0), 0, n)
-        rows, back = np.unique(row, return_inverse=True)
-        return pa.table({"row": rows, "known": np.bincount(back, known).astype(np.int64), "base": np.bincount(back, base), "score": np.bincount(back, score)})
+def _cell_rows(samples: list[Totals]):
+    def kernel(part: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        wide = len(samples[0].tables)
+        x = _part(samples, np.zeros(wide, np.int64), rows)
+        at = np.flatnonzero(~_frequent(x.g, wide) & (x.c > 0))
+        columns = {"h": x.words[x.word[at]], "g": x.g[at], "c": x.c[at], **{f"t{j}": x.tables[at, j] for j in range(len(samples))}}
+        yield pa.record_batch([pa.array(v) for v in columns.values()], list(columns))
 
     return kernel
 
 
-def _found(values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of numbers among sorted ones, and whether they are there."""
-    if not len(values):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
-    return at, values[at] == wanted
+def _score_part(model: dict, parts: int):
+    """Sums a text over the tokens of a part."""
+    samples, known, floor = model["samples"], model["known"], model["floor"]
+
+    def kernel(part: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        wide, x = len(known), _part(samples, known, rows)
+        near = _frequent(x.g, wide)
+        contexts, at = np.unique(x.g[~near], return_inverse=True)
+        customers, *tables = _answered(contexts, parts, rows, 1 + len(samples))
+        mean, count, total = np.zeros(len(x.g)), np.empty(len(x.g)), np.empty(len(x.g))
+        for j, y in enumerate(samples):
+            count[near], count[~near] = y.customers[x.g[near]], customers[at]
+            total[near], total[~near] = y.tables[x.g[near]], tables[j][at]
+            mean += (x.c - y.d1 * x.tables[:, j] + (THETA + y.d1 * total) * x.parents[x.word, j]) / (THETA + count)
+        logs = np.log10(mean / len(samples))
+        length, row, n = unpack(next(v for _, kind, v in rows if kind == 4))
+        rows.clear()
+        cell = np.repeat(np.arange(len(x.g)), length)
+        word = x.word[cell]
+        found, back = np.unique(row, return_inverse=True)
+        add = lambda v: np.bincount(back, v, len(found))
+        sums = [add(n).astype(np.int64), add(n * (x.counts > 0)[word]).astype(np.int64), add(n * np.log10((x.counts + 0.1) / floor)[word]), add(n * logs[cell])]
+        yield _packed(list(_split_by(_owner(found >> 10, _owners(parts)), parts, 0, found, *sums)))
+
+    return _of_part(kernel)
+
+
+def _sum_texts(part: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    row, ids, flags = unpack(next(v for _, kind, v in rows if kind == 1))
+    order = np.argsort(row)
+    row, ids, flags = row[order], ids[order], flags[order]
+    sums = [np.zeros(len(row), kind) for kind in (np.int64, np.int64, float, float)]
+    for _, kind, v in rows:
+        if kind == 0:
+            found, *values = unpack(v)
+            at = np.searchsorted(row, found)
+            for total, x in zip(sums, values):
+                total[at] += x
+    yield pa.record_batch([pa.array(ids, mask=flags >= 2), pa.array(flags % 2 == 1), *map(pa.array, sums)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
 
 def _free_shuffles(df: DataFrame, tokens: int) -> None:
@@ -634,50 +895,28 @@ def _free_shuffles(df: DataFrame, tokens: int) -> None:
         time.sleep(PAUSE / 4)  # another thread removes the files
 
 
-def score(docs: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
-    """Per row of (doc_id, text, held_out): n_tokens, n_known, train_tokens, base_score, score."""
-    floor, now = model.base_floor, model.samples
-    shared = docs.sparkSession.sparkContext.broadcast({"codes": model.codes, "local": model.local, "keys": model.cell_keys, "logs": model.cell_logs, "parents": model.parents, "share": np.array([x.share() for x in now]), "base": np.log10((model.local_counts + 0.1) / floor)})
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "text", "doc_id", "held_out")
-    split = scratch.save(rows.mapInArrow(_score_texts(shared), "kind int, row bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, score double, h bigint, g bigint, n bigint"), "tokens", compression="zstd")
-    words = model.words.select(F.col("h").alias("w"), "c", "p", F.col("u").alias("us"), "own")
-    count = F.coalesce("c", F.lit(0))
-    p = [F.coalesce(F.get("p", F.lit(j)), F.lit(float(x.parent(0, 0)))) for j, x in enumerate(now)]
-    # other words after frequent contexts: by word
-    shares = [F.array(*(F.lit(float(v)) for v in x.share())) for x in now]  # by context
-    each = [p[j] * F.get(shares[j], F.col("g").cast("int")) for j in range(len(now))]
-    own = F.get("own", F.array_position("us", F.col("g").cast("int")).cast("int") - 1)  # null where the cell is not seen
-    each_row = lambda some: some.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("known", "base", "score")))
-    parts = max(1, -(-now[0].tokens // CELLS))
-    found, steps = [], min(BY_WORD, parts)
-    for step in range(steps):
-        mine = lambda some, h: some.filter(F.pmod(F.xxhash64(h), F.lit(steps)) == step)  # noqa: B023, E731
-        by_word = mine(split.filter("kind = 1"), "h").select("row", "h", "g", "n").join(mine(words, "w").hint("shuffle_hash"), F.col("h") == F.col("w"), "left").select(
-            "row", F.when(count > 0, F.col("n")).otherwise(0).alias("known"), (F.col("n") * F.log10((count + 0.1) / floor)).alias("base"), (F.col("n") * F.log10(F.coalesce(own, sum(each[1:], each[0]) / len(now)))).alias("score")
-        )
-        _free_shuffles(docs, now[0].tokens)
-        found.append(scratch.save(each_row(by_word), "by-word"))
-    # words after all other contexts: by context, the words that are not local with their parent probabilities
-    part = F.pmod(F.xxhash64("g"), F.lit(parts)).cast("int").alias("part")
-    plain = model.words.select(F.col("h").alias("w"), "c", *(F.get("p", F.lit(j)).alias(f"p{j}") for j in range(len(now))))
-    steps = min(STEPS, parts)
+def score(model: Model, scratch: Scratch) -> DataFrame:
+    """Per row of the table that was given to ``fit``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    now, parts, wide = model.samples, model.parts, len(model.known)
+    asks = _rows(model.table, "cells", 3).mapInArrow(_context_counts(wide, parts, True), PACKED).union(_rows(model.state, "seats", 2).mapInArrow(_context_tables(wide, parts, True), PACKED))
+    answers = scratch.save(asks.repartitionById(_owners(parts), "part").mapInArrow(_of_part(_answers), PACKED), "contexts", compression="uncompressed")
+    del asks
+    _free_shuffles(model.table, now[0].tokens)
+    # parts are scored in steps, so that fewer files are on disk at once
+    shared = {"samples": now, "known": model.known, "floor": model.base_floor}
+    found, steps = [], min(STEPS, parts)
     for step in range(steps):
-        mine = lambda some: some.filter(F.pmod(F.xxhash64("g"), F.lit(parts)) % steps == step)  # noqa: B023, E731
-        there = mine(split.filter("kind = 3")).select("row", "h", "g", "n").join(plain.hint("shuffle_hash"), F.col("h") == F.col("w"), "left").select(part, "row", "h", "g", "n", count.alias("c"), *(F.coalesce(f"p{j}", F.lit(float(x.parent(0, 0)))).alias(f"p{j}") for j, x in enumerate(now)))
-        here = mine(split.filter("kind = 2")).select(part, "row", "h", "g", "n", F.lit(0).cast("bigint"), *(F.lit(float("nan")) for _ in now))
-        cells = mine(model.cells).select(part, "h", "g", "c", *(f"t{j}" for j in range(len(now))))
-        by_context = here.union(there).toDF(*there.columns).groupBy("part").cogroup(cells.groupBy("part")).applyInArrow(_score_cells(shared, floor, now[0].d1), "row bigint, known bigint, base double, score double")
-        _free_shuffles(docs, now[0].tokens)
-        found.append(scratch.save(each_row(by_context), "by-context"))
-    texts = split.filter("kind = 0").select("row", "known", "base", "score", "doc_id", "held_out", "n_tokens")
+        rows = _rows(model.table, "cells", 3).union(_rows(model.table, "tokens", 4)).union(_rows(model.state, "seats", 2)).union(answers.select("part", "src", "kind", "value"))
+        size = -(-parts // steps)
+        mine = rows.filter(F.col("part") % steps == step).repartitionById(size, F.floor(F.col("part") / steps).cast("int"))
+        found.append(scratch.save(mine.mapInArrow(_score_part(shared, parts), PACKED), "sums", compression="uncompressed"))
+        del rows, mine
+        _free_shuffles(model.table, now[0].tokens)
+    scratch.drop(answers)
+    every = _rows(model.table, "texts", 1)
     for some in found:
-        texts = texts.unionByName(some, allowMissingColumns=True)
-    sums = texts.groupBy("row").agg(
-        *(F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")),
-        F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"),
-    )
-    _free_shuffles(docs, now[0].tokens)
-    # the order of a sum varies with the shuffle; its last digits are cut
+        every = every.union(some)
+    sums = every.repartitionById(_owners(parts), "part").mapInArrow(_of_part(_sum_texts), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(now[0].tokens).cast("bigint").alias("train_tokens"), F.round("base_score", 8).alias("base_score"), F.round("score", 8).alias("score"))
 
 
@@ -690,9 +929,9 @@ def score_all(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     """
     scratch = Scratch(docs.sparkSession, "pitmanyor")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), in_fold(id_col, 10, 0).alias("held_out"))
-    model = fit(rows.filter("not held_out"), scratch, **options)
+    model = fit(rows, scratch, **options)
     if model is None:
         n = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint") + 1
         zero = F.lit(0).cast("bigint")
         return rows.select("doc_id", "held_out", n.alias("n_tokens"), zero.alias("n_known"), zero.alias("train_tokens"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"))
-    return score(rows, model, scratch)
+    return score(model, scratch)

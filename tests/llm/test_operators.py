@@ -657,6 +657,29 @@ def test_every_preceding_word_is_a_context(spark):
     assert len(words) == 241 and np.allclose(np.stack(words.p).sum(0) + [x.parent(0, 0) for x in m.samples], 1)
 
 
+def test_packed_columns():
+    big = np.array([np.iinfo(np.int64).min, -1, 0, np.iinfo(np.int64).max])
+    for columns in ([big, np.arange(70_000) + 2**40, np.array([True, False])], [np.empty(0, np.int64), np.array([0.1, -np.inf])]):
+        for x, y in zip(columns, pitmanyor.unpack(pitmanyor.pack(*columns)), strict=True):
+            assert (x == y).all() and y.dtype == (float if x.dtype == float else np.int64)
+
+
+def test_scoring_moves_few_rows(docs, monkeypatch):
+    from logtide.llm.common import Scratch
+
+    rows, save = {}, Scratch.save
+
+    def counted(self, df, name, **options):
+        out = save(self, df, name, **options)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    tokens = sum(r.n_tokens for r in pitmanyor.score_all(docs).collect())
+    # cells and tokens are columns of a part's row, not rows of their own
+    assert len(rows) > 2 and sum(n for name, n in rows.items() if name != "counts") < 0.01 * tokens
+
+
 def test_shuffles_of_dropped_plans_are_removed(spark):
     files = lambda: {x.split("/")[-1] for x in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").split() if "/shuffle_" in x}
     old = files()
