@@ -18,6 +18,7 @@ K, W, PIECE, WORD = 4, 4, 4, 16
 #: From Thai to Hangul a character is a piece of its own, and in a run of more than WORD characters until WORD are left.
 _LETTER = r"[^\x20\x09-\x0D\u0E00-\uD7FF]"
 PIECES = rf"{_LETTER}{{1,{PIECE}}}(?!{_LETTER}{{{WORD - PIECE + 1}}})|[^\x20\x09-\x0D]"
+_SPACES, _NO_GAPS = "\t\n\x0b\f\r", r"[\u0E00-\uD7FF]"
 #: Documents that one task orders, until there are MOST buckets; keys that one task ranks.
 BUCKET_ROWS, MOST, RANKED = 2_000, 16_384, 10_000
 
@@ -32,29 +33,51 @@ def _beside(name: str, step: int, f) -> Column:
     return F.zip_with(F.slice(name, F.lit(1), n), F.slice(name, F.lit(step + 1), n), f)
 
 
-def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds ``out``: the chosen grams of a text column as (hash, pos), in order of position, and ``out``_set: their hashes."""
-    df = df.withColumn("_p", F.regexp_extract_all(F.lower(text), F.lit(PIECES), F.lit(0)))
-    df = df.withColumn("_h", F.transform("_p", lambda t: F.xxhash64(t)))
+def _spaced(text: str | Column) -> Column:
+    """A text with each white space character as a plain space, which cuts the same pieces."""
+    return F.translate(text, _SPACES, " " * len(_SPACES))
+
+
+def _word_hashes(word: Column) -> Column:
+    """Hashes of the pieces of one word. Cut by position where that is what PIECES matches, which costs a fraction."""
+    n = F.char_length(word)
+    part = lambda i: F.xxhash64(F.substring(word, i, PIECE))
+    cut = F.when(n <= PIECE, F.array(F.xxhash64(word)))
+    for pieces in range(2, WORD // PIECE + 1):
+        cut = cut.when(n <= PIECE * pieces, F.array(*(part(1 + PIECE * i) for i in range(pieces))))
+    matched = F.transform(F.regexp_extract_all(word, F.lit(PIECES), F.lit(0)), lambda t: F.xxhash64(t))
+    return F.when((n > WORD) | ((n != F.octet_length(word)) & F.rlike(word, F.lit(_NO_GAPS))), matched).otherwise(cut)
+
+
+def piece_hashes(spaced: str | Column) -> Column:
+    """Hashes of all pieces of a text whose white space is plain spaces. No piece reaches over a space, nor does its choice."""
+    return F.flatten(F.transform(F.array_remove(F.split(F.lower(spaced), " "), F.lit("")), _word_hashes))
+
+
+def fingerprint(df: DataFrame, text: str, out: str, hashes: str | None = None) -> DataFrame:
+    """Adds ``out``: the chosen grams of a text column as (hash, pos), in order of position, and ``out``_set: their hashes.
+
+    ``hashes`` names a column of the text's piece hashes, if there is one.
+    """
+    df = df.withColumn("_h", F.col(hashes) if hashes else piece_hashes(_spaced(text)))
     df = df.withColumn("_h2", _beside("_h", 1, lambda x, y: _rotate(x, 7).bitwiseXOR(y)))
     df = df.withColumn("_h4", _beside("_h2", 2, lambda x, y: _rotate(x, 14).bitwiseXOR(y)))
-    few = F.when(F.size("_p") > 0, F.array(F.xxhash64("_p"))).otherwise(F.array().cast("array<bigint>"))
-    df = df.withColumn("_g", F.when(F.size("_p") >= K, F.col("_h4")).otherwise(few))
-    df = df.withColumn("_m2", _beside("_g", 1, lambda x, y: F.least(x, y)))
-    df = df.withColumn("_m4", _beside("_m2", 2, lambda x, y: F.least(x, y)))
-    # a window's place of its minimum, looked for from the right
-    place = lambda m, i: F.when(F.get("_g", i + 3) == m, i + 3).when(F.get("_g", i + 2) == m, i + 2).when(F.get("_g", i + 1) == m, i + 1).otherwise(i)
+    few = F.when(F.size("_h") > 0, F.array(F.xxhash64(F.regexp_extract_all(F.lower(text), F.lit(PIECES), F.lit(0))))).otherwise(F.array().cast("array<bigint>"))
+    df = df.withColumn("_g", F.when(F.size("_h") >= K, F.col("_h4")).otherwise(few))
+    # the place of the smallest of two neighbours, then of four; of equal ones the one further right
+    df = df.withColumn("_p2", F.transform("_g", lambda x, i: F.when(F.get("_g", i + 1) <= x, i + 1).otherwise(i)))
+    df = df.withColumn("_p4", _beside("_p2", 2, lambda i, j: F.when(F.get("_g", j) <= F.get("_g", i), j).otherwise(i)))
     whole = F.array(F.size("_g") - F.array_position(F.reverse("_g"), F.array_min("_g")).cast("int"))
     short = F.when(F.size("_g") > 0, whole).otherwise(F.array().cast("array<int>"))
-    df = df.withColumn("_at", F.when(F.size("_g") >= W, F.array_distinct(F.transform("_m4", place))).otherwise(short))
+    df = df.withColumn("_at", F.when(F.size("_g") >= W, F.array_distinct(F.slice("_p4", F.lit(1), F.greatest(F.size("_g") - W + 1, F.lit(0))))).otherwise(short))
     df = df.withColumn(out, F.transform("_at", lambda i: F.struct(F.get("_g", i).alias("hash"), i.alias("pos"))))
-    df = df.withColumn(f"{out}_set", F.array_distinct(F.transform("_at", lambda i: F.get("_g", i))))
-    return df.drop("_p", "_h", "_h2", "_h4", "_g", "_m2", "_m4", "_at")
+    df = df.withColumn(f"{out}_set", F.array_distinct(F.col(out)["hash"]))
+    return df.drop("_h", "_h2", "_h4", "_g", "_p2", "_p4", "_at")
 
 
 def shown(grams: str) -> Column:
     """A fingerprint as text: hash@position of each chosen gram."""
-    return F.array_join(F.transform(grams, lambda x: F.concat_ws("@", F.hex(x["hash"]), x["pos"].cast("string"))), " ")
+    return F.array_join(F.transform(grams, lambda x: F.concat(F.hex(x["hash"]), F.lit("@"), x["pos"].cast("string"))), " ")
 
 
 def likeness(a: str, b: str) -> Column:
@@ -116,8 +139,14 @@ def compare_edited(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     df = rows.withColumn("n_chars", F.char_length("text").cast("bigint")).withColumn("next", F.coalesce(F.lead("text").over(order), "text"))
     cut = F.expr("n_chars div 4").cast("int")
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - cut).cast("int")), F.substring("next", F.lit(1), cut))
-    df = df.withColumn("edited", edited).drop("next")
-    df = fingerprint(fingerprint(df, "text", "own"), "edited", "other")
+    # both texts begin with the same words: up to the last space before the cut they are hashed once
+    kept = _spaced(F.substring("text", F.lit(1), (F.col("n_chars") - cut).cast("int")))
+    df = df.withColumn("edited", edited).withColumn("_last", F.char_length(F.substring_index(kept, " ", -1)))
+    df = df.withColumn("_same", (F.col("n_chars") - cut - F.col("_last")).cast("int"))
+    rest = lambda c: piece_hashes(_spaced(F.substring(c, F.col("_same") + 1, F.char_length(c))))
+    df = df.withColumn("_head", piece_hashes(_spaced(F.substring("text", F.lit(1), F.col("_same")))))
+    df = df.withColumn("own_h", F.concat("_head", rest("text"))).withColumn("other_h", F.concat("_head", rest("edited")))
+    df = fingerprint(fingerprint(df, "text", "own", "own_h"), "edited", "other", "other_h")
     df = df.select("bucket", "ghost", "doc_id", "tie", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", "other", "own_set", "other_set")
     df = df.withColumn("next_set", F.coalesce(F.lead("own_set").over(order), "own_set")).filter("ghost = 0")
     return df.select(

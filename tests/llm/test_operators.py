@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 import string
+import time
 import zlib
 from collections import Counter
 
@@ -481,6 +482,25 @@ def test_winnowing(spark):
     assert len(x & y) > 0.95 * len(x)
 
 
+def test_words_are_cut_like_whole_texts(spark):
+    """Pieces are hashed a word at a time: as PIECES cuts the whole text, for a fraction of its cost."""
+    odd = ["", "  ", "a", "ab cd\tef", "ΑΣ ΑΣΑ ΟΔΟΣ\n ΣΑΣ.", "İstanbul ǅ ß STRAẞE", "x" * 40 + " y", "abcdefghijklmnop qrstuvwxyzabcdefg", "สวัสดี hello 漢字かな交じり mixed漢字word", "😀😁😂🤣😃😄😅 emoji", "\u00a0nb\u2003sp\u3000x", "Übergrößenträger déjà", "a\x0bb\x0cc\rd\x1ce\x85f", "가나다라 마바사", "é" * 16 + " " + "é" * 17]
+    df = spark.createDataFrame([(x + y,) for x in odd for y in ["", " ", *odd]], "text string")
+    whole = F.transform(F.regexp_extract_all(F.lower("text"), F.lit(winnow.PIECES), F.lit(0)), lambda t: F.xxhash64(t))
+    assert df.filter(whole != winnow.piece_hashes(winnow._spaced("text"))).count() == 0
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").union(spark.range(40).select(F.repeat(F.lit("some words of an ordinary length "), 10_000)))
+    docs = docs.repartition(4).persist()
+    docs.count()
+    took = {}
+    for name, hashes in (("whole", whole), ("words", winnow.piece_hashes(winnow._spaced("text")))):
+        for _ in range(3):
+            start = time.perf_counter()
+            docs.select(F.size(hashes).alias("n")).agg(F.sum("n")).collect()
+            took[name] = min(took.get(name, 1e9), time.perf_counter() - start)
+    docs.unpersist()
+    assert took["words"] < 0.75 * took["whole"]
+
+
 def test_fingerprints_of_odd_rows(odd, none, spark):
     got = winnow.compare_edited(odd).collect()
     assert len(got) == len(ODD) and {r.n_chars for r in got if r.doc_id in (2, 3)} == {0}
