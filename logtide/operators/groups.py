@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import json
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .stage import KEY
 
+#: Rows of members that a slot holds, until there are MOST_SLOTS; keys that are looked at to find the bound of one.
+SLOT_ROWS, MOST_SLOTS, LOOKED_AT = 20_000, 4_096, 16
+#: Partitions that are dealt at once.
+DEALT = 65_536
+
 
 def commit_offsets(committed: DataFrame, commits: DataFrame, topics: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The offsets after a commit, and a code for each request: 0, or 3 for an unknown topic, in request order."""
@@ -97,6 +105,42 @@ def same_subscription(a: str, b: str):
     return F.coalesce(F.array_sort(a) == F.array_sort(b), F.lit(False))
 
 
+def _placed(members: DataFrame) -> DataFrame:
+    """Members with ``_place``, a number in the order of (group, member_id) that only repeats of a member share.
+
+    Each slot of neighbouring members is ordered by itself. Bounds of slots are keys of the table, chosen by a
+    hash, so a task that runs again gives the same places.
+    """
+    keys = members.select("group", "member_id")
+    rows = keys.count()
+    slots = max(1, min(MOST_SLOTS, -(-rows // SLOT_ROWS)))
+    bounds = []
+    if slots > 1:
+        looked_at = F.pmod(F.xxhash64("group", "member_id"), F.lit(max(1, rows // (slots * LOOKED_AT)))) == 0
+        found = sorted((tuple(r) for r in keys.filter(looked_at).distinct().collect()), key=lambda k: [(x is not None, x) for x in k])
+        bounds = found[LOOKED_AT::LOOKED_AT]
+    slot = F.lit(0)
+    if bounds:
+        kinds = [f.dataType.simpleString() for f in keys.schema]
+        listed = F.from_json(F.lit(json.dumps([{"g": g, "m": m} for g, m in bounds], default=str)), f"array<struct<g:{kinds[0]},m:{kinds[1]}>>")
+        steps = F.array(*(F.lit(1 << j) for j in reversed(range(len(bounds).bit_length()))))
+        key = F.struct(F.col("group").alias("g"), F.col("member_id").alias("m"))
+        slot = F.aggregate(steps, slot, lambda at, step: F.when((at + step <= len(bounds)) & (F.get(listed, at + step - 1) <= key), at + step).otherwise(at))
+    rank = F.dense_rank().over(Window.partitionBy("_slot").orderBy("group", "member_id"))
+    return members.withColumn("_slot", slot).repartition(slots, "_slot").withColumn("_place", F.col("_slot").cast("bigint") * (1 << 32) + rank - 1)
+
+
+def _named(rows: DataFrame, placed: DataFrame) -> DataFrame:
+    """Rows with the group and member_id of their ``_place``."""
+    return rows.join(placed.select("_slot", "_place", "group", "member_id").distinct(), "_place")
+
+
+def _subscribers(placed: DataFrame) -> DataFrame:
+    """(group, topic, _word, _bits): the places of a topic's subscribers as bits of words of 64, so repeats count once."""
+    each = placed.select("group", F.explode("topics").alias("topic"), F.expr("_place div 64").alias("_word"), F.expr("shiftleft(1L, cast(_place % 64 as int))").alias("_bit"))
+    return each.groupBy("group", "topic", "_word").agg(F.bit_or("_bit").alias("_bits"))
+
+
 def assign_range(members: DataFrame, topics: DataFrame) -> DataFrame:
     """(group, member_id, topic, partition): per topic its partitions in runs over its subscribers by id, the first ones one longer.
 
@@ -110,26 +154,44 @@ def assign_range(members: DataFrame, topics: DataFrame) -> DataFrame:
     return ranked.filter("_size > 0").select("group", "member_id", "topic", F.explode(F.sequence(F.col("_first").cast("int"), (F.col("_first") + F.col("_size") - 1).cast("int"))).alias("partition"))
 
 
+def _deal(group: pa.Table) -> pa.Table:
+    """Deals a group's topitions in order: a topic's go to as many subscribers in turn, from the one whose turn it is on."""
+    group = group.combine_chunks()
+    names = group["topic"].to_pylist()
+    turn, places, topics, partitions = 0, [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int32)]
+    for i in sorted(range(len(names)), key=names.__getitem__):
+        word, bit, size = group["_words"][i].values.to_numpy(), group["_bits"][i].values.to_numpy().astype("<i8").view("<u8"), group["partitions"][i].as_py()
+        ends = np.cumsum(np.bitwise_count(bit), dtype=np.int64)
+        at = int(np.searchsorted(word, turn // 64))
+        first = int(ends[at - 1]) if at else 0
+        if at < len(word) and word[at] == turn // 64:
+            first += (int(bit[at]) & ((1 << turn % 64) - 1)).bit_count()
+        for low in range(0, size, DEALT):
+            dealt = np.arange(low, min(low + DEALT, size))
+            nth = (first + dealt) % ends[-1]
+            at = np.searchsorted(ends, nth, "right")
+            nth = nth - (ends[at] - np.bitwise_count(bit[at]))
+            seen = np.unpackbits(bit[at].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").cumsum(1, dtype=np.uint8)
+            places.append(word[at] * 64 + (seen == (nth + 1)[:, None]).argmax(1))
+            topics.append(np.full(len(dealt), i, np.int32))
+            partitions.append(dealt.astype(np.int32))
+            turn = int(places[-1][-1]) + 1
+    dealt = pa.array(names, pa.string()).take(pa.array(np.concatenate(topics)))
+    return pa.table({"_place": np.concatenate(places), "topic": dealt, "partition": np.concatenate(partitions)})
+
+
 def assign_round_robin(members: DataFrame, topics: DataFrame) -> DataFrame:
     """Topitions in order, dealt to members in order, each to the next one that subscribes to the topic.
 
-    Whose turn it is depends on who was skipped, so each group is a fold over its own members and topics.
+    Whose turn it is depends on who was skipped, so each group is a fold over its own topics; of its members it sees
+    a bit for each topic.
     """
-    wanted = members.select("group", "member_id", F.explode_outer("topics").alias("topic")).join(topics, "topic", "left")
-
-    def deal(group: pd.DataFrame) -> pd.DataFrame:
-        subscribed = {m: set(g["topic"].dropna()) for m, g in group.groupby("member_id")}
-        order, turn, out = sorted(subscribed), 0, []
-        sizes = group.dropna(subset=["partitions"]).groupby("topic")["partitions"].first()
-        for topic in sorted(sizes.index):
-            for partition in range(int(sizes[topic])):
-                while topic not in subscribed[order[turn % len(order)]]:
-                    turn += 1
-                out.append((group["group"].iloc[0], order[turn % len(order)], topic, partition))
-                turn += 1
-        return pd.DataFrame(out, columns=["group", "member_id", "topic", "partition"])
-
-    return wanted.groupBy("group").applyInPandas(deal, "group string, member_id string, topic string, partition int")
+    placed = _placed(members.select("group", "member_id", "topics").filter("member_id is not null"))
+    sizes = topics.filter("partitions is not null").groupBy("topic").agg(F.max("partitions").alias("partitions"))
+    words = _subscribers(placed).groupBy("group", "topic").agg(F.array_sort(F.collect_list(F.struct("_word", "_bits"))).alias("_w"))
+    words = words.join(sizes, "topic").select("group", "topic", "partitions", F.col("_w._word").alias("_words"), F.col("_w._bits").alias("_bits"))
+    dealt = words.groupBy("group").applyInArrow(_deal, "_place bigint, topic string, partition int")
+    return _named(dealt, placed).select("group", "member_id", "topic", "partition")
 
 
 #: Assignors by the names clients ask for.

@@ -1,7 +1,10 @@
 """Small cases with known results."""
 
 import math
+import random
+import uuid
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -182,6 +185,62 @@ def test_assignments(spark, name):
     else:
         assert [x[2] for x in got] == ["m1", "m2", "m3", "m1", "m2", "m3", "m1", "m3", "m1"]
 
+def plain_assignments(members, topics):
+    """Both assignors, by the rules: (range, round robin) as sets of (group, member, topic, partition)."""
+    subscribed, by_range, by_turn = {}, set(), set()
+    for g, m, names in members:
+        subscribed.setdefault(g, {}).setdefault(m, set()).update(names or [])
+    for g, of in subscribed.items():
+        order, turn = sorted(of), 0
+        for topic, n in sorted(topics):
+            own = [m for m in order if topic in of[m]]
+            at = 0
+            for i, m in enumerate(own):
+                size = n // len(own) + (i < n % len(own))
+                by_range |= {(g, m, topic, p) for p in range(at, at + size)}
+                at += size
+            for p in range(n if own else 0):
+                while topic not in of[order[turn % len(order)]]:
+                    turn += 1
+                by_turn.add((g, order[turn % len(order)], topic, p))
+                turn += 1
+    return by_range, by_turn
+
+
+@pytest.mark.parametrize("slot_rows", [20_000, 7])
+def test_assignments_of_many_members(spark, monkeypatch, slot_rows):
+    monkeypatch.setattr(groups, "SLOT_ROWS", slot_rows)
+    monkeypatch.setattr(groups, "DEALT", 5)
+    rng = random.Random(3)
+    topics = [(f"t{i}", n) for i, n in enumerate([7, 0, 1, 150, 3, 64, 12, 33])]
+    members = [(g, f"m{i:03d}é" if i % 5 else f"{i}", rng.sample([t for t, _ in topics] + ["unknown"], rng.randrange(9))) for g, n in (("a", 130), ("b", 3), ("é", 70), ("one", 1)) for i in range(n)]
+    members += rng.sample(members, 40) + [("a", "m001é", ["t0", "t0", None])] * 3 + [("b", "nothing", None), (None, "n1", ["t3"]), (None, "n2", ["t3", "t0"])]
+    members = members[::-1]
+    m = spark.createDataFrame(members, "group string, member_id string, topics array<string>")
+    t = spark.createDataFrame(topics, "topic string, partitions int")
+    by_range, by_turn = plain_assignments([(g, x, [n for n in names or [] if n]) for g, x, names in members], topics)
+    for assign, want in ((groups.assign_range, by_range), (groups.assign_round_robin, by_turn)):
+        got = [tuple(r) for r in assign(m, t).select("group", "member_id", "topic", "partition").collect()]
+        assert len(got) == len(want) and set(got) == want
+        assert assign(m.limit(0), t).count() == 0 and assign(m, t.limit(0)).count() == 0
+
+
+def test_round_robin_sees_words_not_subscriptions(spark, tmp_path, monkeypatch):
+    """A group's fold gets a row a topic and a bit a subscription: 5,000 members of 20 topics are some 80 words a topic."""
+    seen, deal = str(tmp_path), groups._deal
+
+    def watched(group: pa.Table) -> pa.Table:
+        with open(f"{seen}/{uuid.uuid4().hex}", "w") as f:
+            f.write(f"{group.num_rows} {group.nbytes}")
+        return deal(group)
+
+    monkeypatch.setattr(groups, "_deal", watched)
+    m = spark.range(5_000).select(F.lit("g").alias("group"), F.format_string("m%05d", "id").alias("member_id"), F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.concat(F.lit("t"), i)).alias("topics"))
+    t = spark.range(1, 21).select(F.concat(F.lit("t"), "id").alias("topic"), F.lit(3).alias("partitions"))
+    assert groups.assign_round_robin(m, t).count() == 60
+    rows, size = map(int, next(tmp_path.iterdir()).read_text().split())
+    assert rows == 20 and size < 20 * 5_000
+
 
 def test_access(spark):
     acls = spark.createDataFrame([("TOPIC", "abc", "PREFIXED", "User:a", "*", "WRITE", "ALLOW"), ("TOPIC", "abcx", "LITERAL", "User:a", "*", "ALL", "DENY"), ("TOPIC", "*", "LITERAL", "User:b", "h1", "READ", "ALLOW")], "resource_type string, resource_name string, pattern string, principal string, host string, operation string, permission string")
