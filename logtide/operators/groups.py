@@ -146,12 +146,17 @@ def assign_range(members: DataFrame, topics: DataFrame) -> DataFrame:
 
     ``members`` has group, member_id, topics; ``topics`` has topic, partitions.
     """
-    subscribed = members.select("group", "member_id", F.explode("topics").alias("topic")).distinct()
+    placed = _placed(members.select("group", "member_id", "topics"))
     whole = Window.partitionBy("group", "topic")
-    ranked = subscribed.withColumn("_rank", F.row_number().over(whole.orderBy("member_id")) - 1).withColumn("_n", F.count("*").over(whole)).join(topics, "topic")
+    words = _subscribers(placed).withColumn("_c", F.bit_count("_bits")).withColumn("_n", F.sum("_c").over(whole)).withColumn("_before", F.sum("_c").over(whole.orderBy("_word")) - F.col("_c"))
+    # subscribers beyond the number of partitions get none
+    near = words.drop("group").join(topics.select("topic", "partitions"), "topic").filter("_before < partitions")
+    ranked = near.select("topic", "partitions", "_n", "_before", "_word", F.posexplode(F.expr("filter(sequence(0, 63), b -> getbit(_bits, b) = 1)")).alias("_i", "_b"))
+    ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_i")).withColumn("_place", F.col("_word") * 64 + F.col("_b"))
     each, more = F.expr("partitions div _n").cast("int"), F.expr("partitions % _n").cast("int")
     ranked = ranked.withColumn("_first", F.col("_rank") * each + F.least("_rank", more)).withColumn("_size", each + F.when(F.col("_rank") < more, 1).otherwise(0))
-    return ranked.filter("_size > 0").select("group", "member_id", "topic", F.explode(F.sequence(F.col("_first").cast("int"), (F.col("_first") + F.col("_size") - 1).cast("int"))).alias("partition"))
+    ranked = _named(ranked.filter("_size > 0").select("topic", "_place", "_first", "_size"), placed)
+    return ranked.select("group", "member_id", "topic", F.explode(F.sequence(F.col("_first").cast("int"), (F.col("_first") + F.col("_size") - 1).cast("int"))).alias("partition"))
 
 
 def _deal(group: pa.Table) -> pa.Table:

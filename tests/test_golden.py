@@ -242,6 +242,16 @@ def test_round_robin_sees_words_not_subscriptions(spark, tmp_path, monkeypatch):
     assert rows == 20 and size < 20 * 5_000
 
 
+def test_range_orders_a_slot_at_a_time(spark, monkeypatch):
+    """No task orders or buffers all of a topic's subscribers."""
+    monkeypatch.setattr(groups, "SLOT_ROWS", 100)
+    m = spark.range(3_000).select(F.lit("g").alias("group"), F.format_string("m%05d", "id").alias("member_id"), F.array(F.lit("t")).alias("topics"))
+    sizes = [r["n"] for r in groups._placed(m).groupBy("_slot").agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 3_000 and len(sizes) > 15 and max(sizes) < 500
+    assert groups._subscribers(groups._placed(m)).count() < 3_000 / 64 + 2 * len(sizes)
+    assert rows(groups.assign_range(m, spark.createDataFrame([("t", 4)], "topic string, partitions int")), "member_id", "partition") == [(f"m{i:05d}", i) for i in range(4)]
+
+
 def test_access(spark):
     acls = spark.createDataFrame([("TOPIC", "abc", "PREFIXED", "User:a", "*", "WRITE", "ALLOW"), ("TOPIC", "abcx", "LITERAL", "User:a", "*", "ALL", "DENY"), ("TOPIC", "*", "LITERAL", "User:b", "h1", "READ", "ALLOW")], "resource_type string, resource_name string, pattern string, principal string, host string, operation string, permission string")
     asked = [
